@@ -1,0 +1 @@
+"""Empty on purpose: every table of this library is bounded, there is no stream to process."""
