@@ -25,10 +25,10 @@ def entity_table(df: DataFrame, key: str, label: str | None = None) -> DataFrame
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
-def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
+def _match(columns: Sequence[str]) -> Column:
     cond = F.lit(True)
     for c in columns:
-        cond = cond & a[c].eqNullSafe(b[c])
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     return cond
 
 
@@ -39,13 +39,12 @@ def hash_rank(entities: DataFrame, key: str, draw: Column, by: Sequence[str] = (
     counts = drawn.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     lower = F.sum("_size").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*by, "_range", F.coalesce(lower, F.lit(0)).alias("_before"), F.sum("_size").over(group).alias("n"))
+    offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_range"]],
+                            F.coalesce(lower, F.lit(0)).alias("_before"), F.sum("_size").over(group).alias("_n"))
     inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_draw", key)) - 1
-    ranked = drawn.withColumn("_inside", inside)
-    joined = ranked.join(offsets, _same(ranked, offsets, [*by, "_range"]), "inner")
-    return joined.select(*[ranked[c] for c in entities.columns],
-                         (ranked["_inside"] + offsets["_before"]).cast("bigint").alias("rank"),
-                         offsets["n"].cast("bigint").alias("n"))
+    joined = drawn.withColumn("_inside", inside).join(offsets, _match([*by, "_range"]), "inner")
+    return joined.select(*entities.columns, (F.col("_inside") + F.col("_before")).cast("bigint").alias("rank"),
+                         F.col("_n").cast("bigint").alias("n"))
 
 
 def stratum_rank(entities: DataFrame, key: str, draw: Column, stratum: str, by: Sequence[str] = (),
@@ -55,12 +54,11 @@ def stratum_rank(entities: DataFrame, key: str, draw: Column, stratum: str, by:
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     level = F.col(stratum).desc_nulls_last() if descending else F.col(stratum).asc_nulls_first()
     lower = F.sum("_size").over(group.orderBy(level).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*by, stratum, F.coalesce(lower, F.lit(0)).alias("_start"))
-    ranked = hash_rank(entities, key, draw, [*by, stratum])
-    joined = ranked.join(starts, _same(ranked, starts, [*by, stratum]), "inner")
-    return joined.select(*[ranked[c] for c in entities.columns],
-                         (ranked["rank"] + starts["_start"]).cast("bigint").alias("rank"),
-                         ranked["rank"].alias("stratum_rank"), ranked["n"].alias("stratum_n"))
+    starts = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, stratum]],
+                          F.coalesce(lower, F.lit(0)).alias("_start"))
+    joined = hash_rank(entities, key, draw, [*by, stratum]).join(starts, _match([*by, stratum]), "inner")
+    return joined.select(*entities.columns, (F.col("rank") + F.col("_start")).cast("bigint").alias("rank"),
+                         F.col("rank").alias("stratum_rank"), F.col("n").alias("stratum_n"))
 
 
 def seeded_order(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
