@@ -69,11 +69,15 @@ def _blocks_cold(cold, key, order, n, seed, label, features):
     return _means(window_position(drawn, [key], ["_draw", *order]), key, n, features, label)
 
 
+def draw_slices(drawn: DataFrame, max_rows: int) -> DataFrame:
+    """Slices of hot entities along ``_draw``: it is uniform, so equal ranges of it hold equal shares."""
+    slices = F.expr(f"greatest(1, _rows div {max(1, max_rows // 2)})")
+    return drawn.withColumn("_slice", F.floor(F.col("_draw") / F.lit(float(HASH_SPAN)) * slices)).drop("_rows")
+
+
 def _blocks_hot(warm, key, order, n, seed, label, features, max_rows):
-    """The draw is uniform, so equal ranges of it make equal slices."""
     drawn = warm.withColumn("_draw", hash52(*[F.col(c) for c in order], seed, "block"))
-    slices = F.expr(f"greatest(1, _rows div {max(1, max_rows // 2)})")
-    sliced = drawn.withColumn("_slice", F.floor(F.col("_draw") / F.lit(float(HASH_SPAN)) * slices)).drop("_rows")
+    sliced = draw_slices(drawn, max_rows)
     return _means(sliced_position(sliced, [key], ["_draw", *order]), key, n, features, label)
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framecv.functions.hashing import hash52
-from framecv.operators.frames import tail_blocks
+from framecv.operators.frames import draw_slices, tail_blocks
 from framecv.operators.perturb import scramble_labels
-from framecv.operators.position import MAX_ROWS, with_position
+from framecv.operators.position import MAX_ROWS, order_slices, sliced_position, split_hot, window_position
 from framecv.operators.split import split_entities
 from framecv.operators.stats import fit_stats, standardize
 from framecv.session import materialize
@@ -61,21 +61,30 @@ def tail_blocks_by_setting(frames: DataFrame, settings: DataFrame, key: str, ord
     frame is copied to the settings that keep it, and the blocks are keyed by setting and entity.
     """
     plan = settings.agg(F.collect_list(F.struct("setting", "keep", "navg"))).scalar()
-    placed = with_position(frames.where(F.col(key).isNotNull()), [key], order, max_rows=max_rows)
+    cold, warm, _ = split_hot(frames.where(F.col(key).isNotNull()), [key], max_rows)
 
     def kept(s: Column) -> Column:
         n = F.col("_n")
         count = F.greatest(F.lit(1).cast("bigint"), (n.cast("double") * (s["keep"].cast("double") / F.lit(100.0))).cast("bigint"))
         return (s["keep"] <= 0) | (s["keep"] >= 100) | (F.col("_pos") >= n - count)
 
-    copied = placed.withColumn("_all", plan).withColumn("_s", F.explode(F.filter("_all", kept)))
-    drawn = copied.select(F.col("_s.setting").alias("setting"), F.col("_s.navg").alias("_navg"), key, label, *features, *order,
-                          hash52(*[F.col(c) for c in order], seed, "block").alias("_draw"))
-    ranked = with_position(drawn, ["setting", key], ["_draw", *order], max_rows=max_rows)
-    block = F.expr("_pos div _navg")
-    full = ranked.where((F.col("_navg") > 0) & (block < F.expr("_n div _navg")))
-    return full.groupBy("setting", key, block.alias("block")).agg(
-        *[F.avg(c).alias(c) for c in features], F.min_by(label, "_pos").alias(label))
+    def copies(placed: DataFrame) -> DataFrame:
+        spread = placed.withColumn("_plan", plan).withColumn("_s", F.explode(F.filter("_plan", kept)))
+        extra = ["_rows"] if "_rows" in placed.columns else []
+        return spread.select(F.col("_s.setting").alias("setting"), F.col("_s.navg").alias("_navg"), key, label, *features,
+                             *order, *extra, hash52(*[F.col(c) for c in order], seed, "block").alias("_draw"))
+
+    def blocks(ranked: DataFrame) -> DataFrame:
+        block = F.expr("_pos div _navg")
+        full = ranked.where((F.col("_navg") > 0) & (block < F.expr("_n div _navg")))
+        return full.groupBy("setting", key, block.alias("block")).agg(
+            *[F.avg(c).alias(c) for c in features], F.min_by(label, "_pos").alias(label))
+
+    keys, drawn_order = ["setting", key], ["_draw", *order]
+    cold_rows = window_position(copies(window_position(cold, [key], order)), keys, drawn_order)
+    placed = sliced_position(order_slices(warm, [key], order, max_rows), [key], order)
+    warm_rows = sliced_position(draw_slices(copies(placed), max_rows), keys, drawn_order)
+    return blocks(cold_rows).unionByName(blocks(warm_rows))
 
 
 def standardize_by_setting(blocks: DataFrame, features: Sequence[str], by: Sequence[str] = ("setting",)) -> DataFrame:
