@@ -30,19 +30,11 @@ def reverse_complement(seq: Column) -> Column:
 
 def mutation_plan(df: DataFrame, seq: str) -> DataFrame:
     """One row per position: residue number and code, and those of the paired residue."""
-    spread = df.select(
-        "*",
-        F.posexplode(F.split(F.col(seq), "(?!^)")).alias("_at", "base"),
-    )
+    spread = df.withColumn("residue", F.explode(F.sequence(F.lit(1), F.length(seq))))
+    spread = spread.withColumn("base", F.substring(F.col(seq), F.col("residue"), F.lit(1)))
     paired = F.translate("base", BASES, COMPLEMENTS)
+    code = F.nullif(F.instr(F.lit(BASES), F.col("base")), F.lit(0)) - 1
     return spread.select(
-        *[c for c in df.columns],
-        (F.col("_at") + 1).alias("residue"),
-        "base",
-        F.nullif(F.instr(F.lit(BASES), F.col("base")), F.lit(0)).alias("_code1"),
-        (F.lit(2) * F.length(seq) - F.col("_at")).alias("paired_residue"),
-        paired.alias("paired_base"),
-    ).select(
-        *df.columns, "residue", "base", (F.col("_code1") - 1).alias("code"),
-        "paired_residue", "paired_base", (F.lit(4) - F.col("_code1")).alias("paired_code"),
-    )
+        *df.columns, "residue", "base", code.alias("code"),
+        (F.lit(2) * F.length(seq) + 1 - F.col("residue")).alias("paired_residue"),
+        paired.alias("paired_base"), (F.lit(3) - code).alias("paired_code"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from framecv.functions.scalars import linspace_point
 from framecv.operators.position import MAX_ROWS
@@ -13,21 +13,23 @@ from framecv.operators.quantiles import quantiles
 LOW, HIGH, PLOTTING = 0.05, 0.95, 0.4
 
 
-def feature_grid(df: DataFrame, feature: str, points: int = 50, max_rows: int = MAX_ROWS) -> Column:
-    """Array of grid values: all distinct values if fewer than ``points``, else an even grid
-    from the 5th to the 95th percentile. At most ``points`` values."""
-    few = df.select(feature).distinct().where(F.col(feature).isNotNull()).limit(points)
-    values = few.agg(F.array_sort(F.collect_list(feature))).scalar()
-    ends = quantiles(df, feature, {"lo": LOW, "hi": HIGH}, alphap=PLOTTING, betap=PLOTTING, max_rows=max_rows)
-    ends = ends.select(F.struct("lo", "hi")).scalar()
-    even = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: linspace_point(i, ends["lo"], ends["hi"], points))
-    return F.when(F.size(values) < points, values).otherwise(even)
+def with_grid(df: DataFrame, source: DataFrame, feature: str, points: int = 50, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Adds ``_grid``, the values of the feature in ``source`` to predict at: all distinct ones if there
+    are fewer than ``points``, else an even grid from the 5th to the 95th percentile."""
+    few = source.select(feature).distinct().where(F.col(feature).isNotNull()).limit(points)
+    values = few.agg(F.array_sort(F.collect_list(F.col(feature).cast("double")))).scalar()
+    ends = quantiles(source, feature, {"lo": LOW, "hi": HIGH}, alphap=PLOTTING, betap=PLOTTING, max_rows=max_rows)
+    lo, hi = F.col("_ends.lo").cast("double"), F.col("_ends.hi").cast("double")
+    even = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: linspace_point(i, lo, hi, points))
+    marked = df.withColumns({"_values": values, "_ends": ends.select(F.struct("lo", "hi")).scalar()})
+    grid = F.when(F.size("_values") < points, F.col("_values")).otherwise(even)
+    return marked.withColumn("_grid", grid).drop("_values", "_ends")
 
 
 def individual_curves(model: PipelineModel, df: DataFrame, feature: str, row_id: list[str], points: int = 50,
                       max_rows: int = MAX_ROWS) -> DataFrame:
     """Prediction of each row at each grid value: ``row_id, grid, predicted``. Nothing is shuffled."""
-    spread = df.withColumn("_grid", feature_grid(df, feature, points, max_rows))
+    spread = with_grid(df, df, feature, points, max_rows)
     spread = spread.withColumn("grid", F.explode("_grid")).withColumn(feature, F.col("grid")).drop("_grid")
     return model.transform(spread).select(*row_id, "grid", F.col("prediction").alias("predicted"))
 

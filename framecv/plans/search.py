@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable, Sequence
 
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framecv.functions.hashing import uniform
@@ -12,6 +14,7 @@ from framecv.plans.crossval import fit_folds, fold_metrics, score_folds, with_fo
 from framecv.plans.prepare import standardize_by_setting, tail_blocks_by_setting
 from framecv.session import materialize
 
+log = logging.getLogger(__name__)
 FAILED = 1e6
 
 # The data-preparation axes that every search shares, and those of each model kind.
@@ -96,10 +99,10 @@ def run_trials(frames: DataFrame, trials: DataFrame, assignment: DataFrame, key:
             metrics = fold_metrics(score_folds(models, part, key, label), key, task) if models else None
             mean = metrics.agg(*[F.avg(c).alias(c) for c in metrics.columns if c not in ("repeat", "fold")]) if models else None
             loss = mean.select(trial_loss(task, kind).alias("loss")).first()["loss"] if models else FAILED
-        except Exception as failure:  # a failed trial gets the penalty and the search goes on
-            if "cancel" in str(failure).lower():
-                raise
+        except (CapturedException, ValueError) as failure:
+            # a setting that cannot be fitted gets the penalty and the search goes on
+            log.warning("trial %s failed: %s", row["trial"], failure)
             loss = FAILED
         losses.append((row["trial"], float(loss), "fail" if loss == FAILED else "ok"))
-    log = spark.createDataFrame(losses, "trial bigint, loss double, status string")
-    return trials.join(log, "trial", "inner")
+    results = spark.createDataFrame(losses, "trial bigint, loss double, status string")
+    return trials.join(results, "trial", "inner")

@@ -30,20 +30,24 @@ def parse_energy_reports(reports: DataFrame, text: str = "value") -> DataFrame:
     Columns are taken by header name, so their order may differ between reports.
     """
     keep = [c for c in reports.columns if c != text]
-    sections = reports.select(*keep, F.explode(F.split(F.col(text), r"\r?\n[ \t]*\r?\n")).alias("_part"))
+    plain = F.replace(F.col(text), F.lit("\r"), F.lit(""))
+    sections = reports.select(*keep, F.explode(F.split(plain, r"\n[ \t]*\n")).alias("_part"))
     title = F.regexp_extract("_part", r"(?m)^\s*(\w+) Energy Terms\s*$", 1)
-    lines = F.filter(F.split("_part", r"\r?\n"), lambda line: F.contains(line, F.lit(",")))
+    lines = F.filter(F.split("_part", "\n"), lambda line: F.contains(line, F.lit(",")))
     tables = sections.select(*keep, title.alias("section"), lines.alias("_lines")).where(F.col("section") != "")
     header = F.transform(F.split(F.get("_lines", F.lit(0)), ","), lambda c: F.trim(c))
-    rows = tables.select(*keep, "section", header.alias("_head"), F.explode(F.slice("_lines", 2, 2147483647)).alias("_row"))
-    cells = rows.select(*keep, "section", "_head", F.split("_row", ",").alias("_cells"))
-
-    def cell(name: str) -> Column:
-        at = F.array_position("_head", name)
-        return F.get("_cells", (F.nullif(at, F.lit(0)) - 1).cast("int"))
-
-    return cells.select(*keep, "section", cell("Frame #").try_cast("int").alias("frame"),
-                        *[cell(t).try_cast("double").alias(c) for t, c in zip(TERMS, TERM_COLUMNS)])
+    # where each column stands is looked up once per section
+    wanted = F.array(*[F.lit(name) for name in ["Frame #", *TERMS]])
+    spots = F.transform(wanted, lambda name: F.nullif(F.array_position("_head", name), F.lit(0)).cast("int") - 1)
+    placed = tables.withColumn("_head", header).select(*keep, "section", "_lines", spots.alias("_at"))
+    placed = placed.select(*keep, "section", "_at", F.explode(F.slice("_lines", 2, 2147483647)).alias("_row"))
+    cells = placed.select(*keep, "section", "_at", F.split("_row", ",").alias("_cells"))
+
+    def cell(i: int) -> Column:
+        return F.get("_cells", F.get("_at", F.lit(i)))
+
+    return cells.select(*keep, "section", cell(0).try_cast("int").alias("frame"),
+                        *[cell(i).try_cast("double").alias(c) for i, c in enumerate(TERM_COLUMNS, 1)])
 
 
 def read_energy_reports(spark: SparkSession, path: str, layout: str = LAYOUT) -> DataFrame:
