@@ -37,7 +37,7 @@ def fit_folds(folded: DataFrame, estimator, parallelism: int = 4) -> Models:
         return pair, estimator.fit(folded.where((F.col("repeat") == repeat) & (F.col("fold") != fold)))
 
     with ThreadPool(parallelism) as pool:
-        return dict(pool.map(inheritable_thread_target(fit), present_folds(folded)))
+        return dict(pool.map(inheritable_thread_target(folded.sparkSession)(fit), present_folds(folded)))
 
 
 def _scores(scored: DataFrame) -> DataFrame:

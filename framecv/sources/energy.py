@@ -51,7 +51,7 @@ def parse_energy_reports(reports: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_energy_reports(spark: SparkSession, path: str, layout: str = LAYOUT) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     keyed = raw.withColumns(entity_and_run(F.col("_metadata.file_path"), layout))
     return parse_energy_reports(keyed)
 
