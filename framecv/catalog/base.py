@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """Rows over all cores before work that is heavy per row. A small file is one row group and would
+    keep one core busy; a table of at least as many splits as there are cores is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, column)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in doubles})
@@ -57,7 +65,7 @@ def labelled(spark, sf_dir) -> DataFrame:
 
 def predictions(spark, sf_dir) -> DataFrame:
     """Row predictions of three tasks: the truth disturbed by a hash of the row."""
-    rows = labelled(spark, sf_dir).select("entity", *ORDER, "y", "y_bin", "y_cls",
+    rows = spread(labelled(spark, sf_dir), "run").select("entity", *ORDER, "y", "y_bin", "y_cls",
                                           uniform(*[F.col(c) for c in ORDER], "pred").alias("u"))
     u = F.col("u")
     is_test = hash52(F.col("entity"), "holdout") % 7 == 0

@@ -14,8 +14,8 @@ from framecv.operators.split import assign_folds
 from framecv.operators.stats import fit_stats
 from framecv.plans.crossval import with_folds
 from framecv.plans.search import best_trial, trial_loss
-from framecv.session import scratch_path
-from framecv.sources.predictions import by_task, collect_regression_predictions, file_name, read_predictions
+from framecv.session import materialize, scratch_path
+from framecv.sources.predictions import collect_regression_predictions, file_name, read_by_task, read_predictions
 from framecv.sources.tables import (format_metrics, load_fold, load_stats, model_matrix, params_dict, read_frames, read_labels,
                                     read_csv, read_params, resolve_dataset, save_stats, write_params, write_predictions, write_splits)
 
@@ -67,7 +67,7 @@ def model_matrix_rows(spark, sf_dir):
            "labelled", PREPARED | ENTITIES | _repeats(2) | _BALANCED, "discount price y"))
 def split_store(spark, sf_dir):
     """Rows written by repeat and fold; the validation part is one partition."""
-    blocks = tail_blocks(frames(spark, sf_dir), KEY, ORDER, 60, 5, SEED, "y", FEATURES, labels(spark, sf_dir).select(KEY, "y"))
+    blocks = materialize(tail_blocks(frames(spark, sf_dir), KEY, ORDER, 60, 5, SEED, "y", FEATURES, labels(spark, sf_dir).select(KEY, "y")))
     path = scratch_path(spark, "splits")
     write_splits(with_folds(blocks, assign_folds(frames(spark, sf_dir), KEY, 5, 2, SEED), KEY), path)
     return rounded(load_fold(spark, path, 1, 2).select("entity", "block", "discount", "price", "y"))
@@ -146,7 +146,7 @@ def prediction_files(spark, sf_dir):
         part = rows.select(KEY, *_values(task), _named(rows, task).alias("file"))
         parts = part if parts is None else parts.unionByName(part)
     path = _stored(parts, F.col("file"), "predictions", ["Predicted", "True"])
-    tasks = by_task(read_predictions(spark, path, "file=predictions_*"))
+    tasks = read_by_task(spark, path, "file=predictions_*")
     out = None
     for task, (p, t) in {"reg": ("Predicted_reg", "True_reg"), "bin": ("Predicted_class", "True_class"), "mclass": ("Predicted_mclass", "mclass")}.items():
         part = tasks[task].groupBy("model_type", "scr_frac", "is_test", "rep", "fold").agg(

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framecv.functions.hashing import HASH_SPAN, hash52
 from framecv.functions.scalars import numeric_features
-from framecv.operators.position import (MAX_ROWS, order_slices, slice_offsets, sliced_position, split_hot,
+from framecv.operators.position import (MAX_ROWS, keyed_join, order_slices, slice_offsets, sliced_position, split_hot,
                                         window_position, with_position)
 
 
 def join_labels(frames: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Inner join, one label row per entity. Spark broadcasts the labels only while they are small."""
-    return frames.join(labels, key, "inner")
+    """Inner join, one label row per entity; neither side has to be small."""
+    return keyed_join(frames, labels, key)
 
 
 def frame_positions(df: DataFrame, key: str, order: Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
@@ -51,8 +51,8 @@ def tail_percent(df: DataFrame, key: str, order: Sequence[str], pct: float, max_
     if pct <= 0 or pct >= 100:
         return df
     cold, warm, _ = split_hot(df.where(F.col(key).isNotNull()), [key], max_rows)
-    tail = _tail_hot(warm, key, order, pct, max_rows).drop("_rows")
-    return _tail_cold(cold, key, order, pct).unionByName(tail)
+    tail = _tail_cold(cold, key, order, pct)
+    return tail if warm is None else tail.unionByName(_tail_hot(warm, key, order, pct, max_rows).drop("_rows"))
 
 
 def _means(placed: DataFrame, key: str, n: int, features: Sequence[str], label: str | None) -> DataFrame:
@@ -97,8 +97,8 @@ def block_average(df: DataFrame, key: str, order: Sequence[str], n: int, seed: i
         raise ValueError("block size must be at least 1")
     features = features or numeric_features(df, [key, *order, *([label] if label else [])])
     cold, warm, _ = split_hot(_needed(df.where(F.col(key).isNotNull()), key, order, label, features), [key], max_rows)
-    return _blocks_cold(cold, key, order, n, seed, label, features).unionByName(
-        _blocks_hot(warm, key, order, n, seed, label, features, max_rows))
+    blocks = _blocks_cold(cold, key, order, n, seed, label, features)
+    return blocks if warm is None else blocks.unionByName(_blocks_hot(warm, key, order, n, seed, label, features, max_rows))
 
 
 def tail_blocks(frames: DataFrame, key: str, order: Sequence[str], pct: float, n: int, seed: int,
@@ -106,21 +106,22 @@ def tail_blocks(frames: DataFrame, key: str, order: Sequence[str], pct: float, n
                 max_rows: int = MAX_ROWS) -> DataFrame:
     """Label join, tail filter and block average with one shuffle of the frames.
 
-    The hot entities are told apart once, before anything is shuffled.
+    Hot entities are told apart once, before anything is shuffled.
     """
     if n < 1:
         raise ValueError("block size must be at least 1")
-    source = join_labels(frames, labels, key) if labels is not None else frames
-    features = features or numeric_features(source, [key, *order, *([label] if label else [])])
-
-    def labelled(df):
-        joined = df if labels is None else join_labels(df, labels, key)
-        return _needed(joined, key, order, label, features)
-
-    cold, warm, _ = split_hot(frames.where(F.col(key).isNotNull()), [key], max_rows)
-    cold, warm = labelled(cold), labelled(warm)
-    if 0 < pct < 100:
-        cold = _tail_cold(cold, key, order, pct)
+    features = features or numeric_features(frames, [key, *order, *([label] if label else [])])
+    cold, warm, hot = split_hot(frames.where(F.col(key).isNotNull()), [key], max_rows)
+    tailed = 0 < pct < 100
+
+    cold = _needed(cold if labels is None else cold.join(labels, key, "inner"), key, order, label, features)
+    blocks = _blocks_cold(_tail_cold(cold, key, order, pct) if tailed else cold, key, order, n, seed, label, features)
+    if warm is None:
+        return blocks
+    if labels is not None:
+        few = labels.join(F.broadcast(hot.select(key)), key, "left_semi")
+        warm = warm.join(F.broadcast(few), key, "inner")
+    warm = _needed(warm, key, order, label, features)
+    if tailed:
         warm = _tail_hot(warm, key, order, pct, max_rows)
-    return _blocks_cold(cold, key, order, n, seed, label, features).unionByName(
-        _blocks_hot(warm, key, order, n, seed, label, features, max_rows))
+    return blocks.unionByName(_blocks_hot(warm, key, order, n, seed, label, features, max_rows))

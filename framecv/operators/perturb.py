@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framecv.functions.hashing import gaussian, hash52
 from framecv.functions.scalars import truncated_count
+from framecv.operators.position import keyed_join
 from framecv.operators.split import entity_table, hash_rank
 
 
@@ -30,7 +31,7 @@ def scramble_labels(df: DataFrame, key: str, label: str, fraction: float, seed:
     if fraction <= 0 and min_count == 0:
         return df
     labels = scrambled_labels(df, key, label, fraction, seed, min_count).select(key, label)
-    return df.drop(label).join(labels, key, "inner").select(*df.columns)
+    return keyed_join(df.drop(label), labels, key).select(*df.columns)
 
 
 def add_gaussian_noise(df: DataFrame, label: str, level: float, seed: int, row_id: Sequence[str]) -> DataFrame:
@@ -66,4 +67,4 @@ def add_label_noise(df: DataFrame, key: str, label: str, level: float, seed: int
     if task == "reg":
         return add_gaussian_noise(df, label, level, seed, list(row_id) or [key])
     labels = flipped_labels(df, key, label, level, seed, task).select(key, label)
-    return df.drop(label).join(labels, key, "inner").select(*df.columns)
+    return keyed_join(df.drop(label), labels, key).select(*df.columns)

@@ -5,7 +5,8 @@ A window over a group runs in one task, so it is used only for groups of at most
 a position is then the number of rows in the earlier slices plus the position in the
 slice. At most N / max_rows groups can be hot, which bounds everything broadcast here:
 the hot keys, four edges per ``max_rows`` rows, and one count per slice.
-When no group is hot the second branch reads nothing.
+The input is read more than once: pass a scan or a materialized table, not the result
+of a shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from framecv.session import materialize
+
 MAX_ROWS = 2_000_000
 # Edges of one hot group: a thin sample of its rows, about this many at the most.
 MAX_EDGES = 1 << 16
@@ -28,9 +31,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS) -> Da
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of ordinary groups, rows of hot groups (with ``_rows``), and the hot keys."""
+def split_hot(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS
+              ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows of ordinary groups, rows of hot groups (with ``_rows``), and the hot keys.
+
+    The sizes are counted when this is called, from the keys alone. Without a hot group the
+    rows come back as they are, and the plan on top of them needs no second branch.
+    """
     hot = hot_keys(df, keys, max_rows)
+    if hot.count() == 0:
+        return df, None, None
+    hot = materialize(hot)
     cold = df.join(F.broadcast(hot), list(keys), "left_anti")
     warm = df.join(F.broadcast(hot), list(keys), "inner")
     return cold, warm, hot
@@ -93,5 +104,22 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
                   max_rows: int = MAX_ROWS) -> DataFrame:
     """Adds ``_pos`` (zero-based) and ``_n`` to every row. ``order`` must be total inside a group."""
     cold, warm, _ = split_hot(df, keys, max_rows)
+    out = window_position(cold, keys, order, weight)
+    if warm is None:
+        return out
     sliced = order_slices(warm, keys, order, max_rows).drop("_rows")
-    return window_position(cold, keys, order, weight).unionByName(sliced_position(sliced, keys, order, weight))
+    return out.unionByName(sliced_position(sliced, keys, order, weight))
+
+
+def keyed_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", max_rows: int = MAX_ROWS) -> DataFrame:
+    """Join rows with an entity table of any size on the entity.
+
+    A shuffled join brings all rows of an entity to one task, so hot entities go another way: the
+    lookup rows of those few entities are broadcast, and their frames stay where they are.
+    ``rows`` are read twice: pass a scan or a materialized table.
+    """
+    cold, warm, hot = split_hot(rows, [key], max_rows)
+    if warm is None:
+        return rows.join(lookup, key, how)
+    few = lookup.join(F.broadcast(hot.select(key)), key, "left_semi")
+    return cold.join(lookup, key, how).unionByName(warm.drop("_rows").join(F.broadcast(few), key, how))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from framecv.operators.position import MAX_ROWS, with_position
+from framecv.session import materialize
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), alphap: float = 1.0,
@@ -18,7 +19,8 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     """
     keys = list(by) or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(0))
-    counted = source.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    # ranking reads the counted values several times, so they are written once
+    counted = materialize(source.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w")))
     placed = with_position(counted, keys, [value], weight="_w", max_rows=max_rows)
     n, x = F.col("_n").cast("double"), F.col(value)
     aggs = [F.max("_n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")]

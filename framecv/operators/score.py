@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framecv.functions.scalars import linspace_point
+from framecv.operators.position import keyed_join
 
 
 def standard_score_sum(frames: DataFrame, terms: Sequence[str], name: str = "sum_z") -> DataFrame:
@@ -35,7 +36,7 @@ def reference_state_score(frames: DataFrame, labels: DataFrame, key: str, value:
     known = labels.select(key, value).distinct()
     if train is not None:
         ids = train.select(key).distinct()
-        frames, known = frames.join(ids, key, "left_semi"), known.join(ids, key, "left_semi")
+        frames, known = keyed_join(frames, ids, key, "left_semi"), known.join(ids, key, "left_semi")
     scored = standard_score_sum(frames.select(key, *[F.col(f"`{c}`") for c in terms]), terms)
     entities = scored.groupBy(key).agg(F.avg("sum_z").alias("_mean"),
                                        F.coalesce(F.stddev_pop("sum_z"), F.lit(0.0)).alias("yerr"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framecv.functions.hashing import HASH_SPAN, hash52
 from framecv.functions.scalars import truncated_count
+from framecv.operators.position import keyed_join
 
 HASH_RANGES = 1024
 
@@ -83,12 +84,12 @@ def split_entities(df: DataFrame, key: str, test_fraction: float, seed: int, str
 
 
 def train_rows(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
-    return df.join(split.where(~F.col("is_test")).select(key), key, "left_semi")
+    return keyed_join(df, split.where(~F.col("is_test")).select(key), key, "left_semi")
 
 
 def test_rows(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
     """Complement of the training entities."""
-    return df.join(split.where(~F.col("is_test")).select(key), key, "left_anti")
+    return keyed_join(df, split.where(~F.col("is_test")).select(key), key, "left_anti")
 
 
 def assign_folds(df: DataFrame, key: str, k: int, repeats: int, seed: int, stratify: str | None = None) -> DataFrame:
@@ -113,7 +114,7 @@ def subsample_entities(df: DataFrame, key: str, fraction: float, seed: int, min_
         return df
     ranked = hash_rank(entity_table(df, key), key, hash52(F.col(key), seed, "subsample"))
     keep = F.greatest(truncated_count(F.col("n"), fraction), F.lit(min_entities).cast("bigint"))
-    return df.join(ranked.where(F.col("rank") < keep).select(key), key, "left_semi")
+    return keyed_join(df, ranked.where(F.col("rank") < keep).select(key), key, "left_semi")
 
 
 def sweep_levels(levels: Sequence[float], descending: bool = False) -> list[float]:
@@ -130,7 +131,7 @@ def subsample_sweep(df: DataFrame, key: str, fractions: Sequence[float], seed: i
         for f in levels
     ]
     chosen = ranked.select(key, F.array_compact(F.array(*kept)).alias("_levels"))
-    return df.join(chosen, key, "inner").withColumn("sub_frac", F.explode("_levels")).drop("_levels")
+    return keyed_join(df, chosen, key).withColumn("sub_frac", F.explode("_levels")).drop("_levels")
 
 
 def experiment_grid(df: DataFrame, axes: dict[str, Sequence | Column]) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framecv.operators.metrics import class_metrics, entity_predictions, regression_metrics, score_vote
+from framecv.operators.position import keyed_join
 
 Models = dict[tuple[int, int], PipelineModel]
 
 
 def with_folds(matrix: DataFrame, assignment: DataFrame, key: str) -> DataFrame:
     """Every row once per repeat, with the fold in which it is validated."""
-    return matrix.join(assignment, key, "inner")
+    return keyed_join(matrix, assignment, key)
 
 
 def present_folds(folded: DataFrame) -> list[tuple[int, int]]:

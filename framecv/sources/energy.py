@@ -71,18 +71,19 @@ def energy_rollups(df: DataFrame) -> DataFrame:
 def energy_delta(df: DataFrame, keys: Sequence[str] = ("sequence", "run", "frame")) -> DataFrame:
     """Complex - Receptor - Ligand per frame: one shuffle and no join."""
     sign = F.when(F.col("section") == "Complex", 1.0).when(F.col("section").isin("Receptor", "Ligand"), -1.0)
-    whole = F.count_distinct(F.when(sign.isNotNull(), F.col("section")))
-    sums = df.groupBy(*keys).agg(*[F.sum(sign * F.col(c)).alias(c) for c in TERM_COLUMNS], whole.alias("_parts"))
-    return sums.where(F.col("_parts") == 3).drop("_parts")
+    part = F.when(F.col("section") == "Complex", 1).when(F.col("section") == "Receptor", 2).when(F.col("section") == "Ligand", 4)
+    sums = df.groupBy(*keys).agg(*[F.sum(sign * F.col(c)).alias(c) for c in TERM_COLUMNS], F.bit_or(part).alias("_parts"))
+    return sums.where(F.col("_parts") == 7).drop("_parts")
 
 
 def energy_summary(df: DataFrame, by: Sequence[str] = ("section",)) -> DataFrame:
     """Average, population standard deviation and standard error of each term, one row per term."""
-    entries = F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).alias("_x")) for c in TERM_COLUMNS])
-    long = df.select(*by, F.inline(entries))
-    return long.groupBy(*by, "term").agg(
-        F.avg("_x").alias("average"), F.stddev_pop("_x").alias("sd"),
-        F.try_divide(F.stddev_pop("_x"), F.sqrt(F.count("_x").cast("double"))).alias("sem"), F.count("_x").alias("n"))
+    wide = df.groupBy(*by).agg(*[F.struct(
+        F.avg(c).alias("average"), F.stddev_pop(c).alias("sd"),
+        F.try_divide(F.stddev_pop(c), F.sqrt(F.count(c).cast("double"))).alias("sem"), F.count(c).alias("n")).alias(c) for c in TERM_COLUMNS])
+    entries = F.array(*[F.struct(F.lit(c).alias("term"), F.col(f"{c}.average").alias("average"), F.col(f"{c}.sd").alias("sd"),
+                                 F.col(f"{c}.sem").alias("sem"), F.col(f"{c}.n").alias("n")) for c in TERM_COLUMNS])
+    return wide.select(*by, F.inline(entries))
 
 
 def _combined(name: str, members: Sequence[str]) -> Column:

@@ -68,11 +68,15 @@ def read_predictions(spark: SparkSession, path: str, glob: str = "predictions_*"
     return rows.drop("level")
 
 
-def by_task(rows: DataFrame) -> dict[str, DataFrame]:
-    """The rows of each task under its own column names; classes as integers."""
+def read_by_task(spark: SparkSession, path: str, glob: str = "predictions_*") -> dict[str, DataFrame]:
+    """The rows of each task under its own column names; classes as integers.
+
+    Each task lists only its own files, so every file is read once.
+    """
     out = {}
     for task, names in RENAMES.items():
-        part = rows.where(F.col("model_type") == task)
+        own = glob.replace("predictions_*", f"{{predictions_{task},predictions_test_{task}}}_*")
+        part = read_predictions(spark, path, own).where(F.col("model_type") == task)
         if task != "reg":
             part = part.withColumns({c: F.col(c).cast("int") for c in names})
         out[task] = part.withColumnsRenamed(names)

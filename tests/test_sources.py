@@ -7,7 +7,7 @@ from framecv.functions.scalars import clean_feature_name, derive_labels, fractio
 from framecv.functions.sequence import center_kmer, flank, has_motif, mutation_plan, reverse_complement
 from framecv.operators.stats import fit_stats
 from framecv.sources.energy import (TERM_COLUMNS, energy_delta, energy_rollups, energy_summary, propagated_sd, read_energy_reports)
-from framecv.sources.predictions import (by_task, collect_regression_predictions, file_name, name_columns, read_predictions, standard_names)
+from framecv.sources.predictions import (collect_regression_predictions, file_name, name_columns, read_by_task, read_predictions, standard_names)
 from framecv.sources.surface import (attach_radius, buried_surface, parse_atom_surface, parse_residue_surface, parse_structure,
                                      parse_surface_totals, read_report_lines, surface_totals)
 from framecv.sources.tables import (format_metrics, load_fold, load_stats, model_matrix, params_dict, read_frames, read_labels, read_params,
@@ -114,7 +114,7 @@ def test_prediction_files(spark, tmp_path):
     rows = read_predictions(spark, str(tmp_path))
     got = {(r["model_type"], r["scr_frac"], r["rep"], r["fold"], r["is_test"]) for r in rows.collect()}
     assert got == {("reg", 0.25, 1, 2, False), ("bin", 0.0, None, None, True), ("mclass", 1.0, 0, 0, False)}
-    tasks = by_task(rows)
+    tasks = read_by_task(spark, str(tmp_path))
     assert dict(tasks["bin"].dtypes)["True_class"] == "int" and "Predicted_reg" in tasks["reg"].columns and "mclass" in tasks["mclass"].columns
     assert {k: v.count() for k, v in tasks.items()} == {"reg": 2, "bin": 2, "mclass": 2}
 
