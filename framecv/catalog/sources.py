@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framecv.catalog.base import FEATURES, KEY, ORDER, SEED, frames, labelled, labels, predictions, query, rounded, sql, table
 from framecv.catalog.frames import PREPARED
 from framecv.catalog.metrics import GROUPS, REG_COLS, reg_sql
-from framecv.catalog.splits import ENTITIES, _BALANCED, _repeats
+from framecv.catalog.splits import ENTITIES, _repeats, balanced
 from framecv.operators.frames import tail_blocks
 from framecv.operators.metrics import regression_metrics
 from framecv.operators.split import assign_folds
@@ -64,7 +64,7 @@ def model_matrix_rows(spark, sf_dir):
 
 
 @query(sql("SELECT entity, block, discount, price, y FROM blocks JOIN folds USING (entity) WHERE repeat = 1 AND fold = 2",
-           "labelled", PREPARED | ENTITIES | _repeats(2) | _BALANCED, "discount price y"))
+           "labelled", PREPARED | ENTITIES | _repeats(2) | balanced(5), "discount price y"))
 def split_store(spark, sf_dir):
     """Rows written by repeat and fold; the validation part is one partition."""
     blocks = materialize(tail_blocks(frames(spark, sf_dir), KEY, ORDER, 60, 5, SEED, "y", FEATURES, labels(spark, sf_dir).select(KEY, "y")))

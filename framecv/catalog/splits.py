@@ -56,9 +56,14 @@ def _repeats(n):
 
 _STRATIFIED = {"folds": f"""SELECT entity, repeat, CAST((row_number() OVER (PARTITION BY repeat ORDER BY y_cls,
     {h('entity', f'({SEED} + 100 * repeat)', "'fold'")}, entity) - 1) % 5 AS INTEGER) AS fold FROM repeated"""}
-_BALANCED = {"dealt": f"""SELECT entity, repeat, n_rows, CAST((row_number() OVER (PARTITION BY repeat ORDER BY n_rows DESC,
-    {h('entity', f'({SEED} + 100 * repeat)', "'fold'")}, entity) - 1) % 10 AS INTEGER) AS turn FROM repeated""",
-    "folds": "SELECT entity, repeat, n_rows, CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS fold FROM dealt"}
+
+
+def balanced(k: int) -> dict[str, str]:
+    """Rows laid end to end in seeded order; no entity of these tables is large enough to be dealt alone."""
+    return {"laid": f"""SELECT *, coalesce(sum(n_rows) OVER (PARTITION BY repeat ORDER BY {h('entity', f'({SEED} + 100 * repeat)', "'fold'")}, entity
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n_rows) OVER (PARTITION BY repeat) AS total FROM repeated""",
+            "folds": "SELECT entity, repeat, n_rows, CAST(" + " + ".join(
+                f"(before * {k} >= total * {f})::INTEGER" for f in range(1, k)) + " AS INTEGER) AS fold FROM laid"}
 
 
 @query(sql("SELECT entity, repeat, fold FROM folds", "labelled", ENTITIES | _repeats(3) | _STRATIFIED))
@@ -66,14 +71,14 @@ def stratified_group_folds(spark, sf_dir):
     return assign_folds(labelled(spark, sf_dir), KEY, 5, 3, SEED, stratify="y_cls")
 
 
-@query(sql("SELECT entity, repeat, fold FROM folds", "labelled", ENTITIES | _repeats(3) | _BALANCED))
+@query(sql("SELECT entity, repeat, fold FROM folds", "labelled", ENTITIES | _repeats(3) | balanced(5)))
 def balanced_group_folds(spark, sf_dir):
-    """Repeated group folds of nearly equal row counts; ties in size are shuffled anew in each repeat."""
+    """Repeated group folds of equal row counts, shuffled anew in each repeat."""
     return assign_folds(frames(spark, sf_dir), KEY, 5, 3, SEED)
 
 
 @query(sql("SELECT repeat, fold, count(*) AS n_rows, count(DISTINCT entity) AS n_entities FROM frames JOIN folds USING (entity) GROUP BY repeat, fold",
-           "labelled", ENTITIES | _repeats(3) | _BALANCED))
+           "labelled", ENTITIES | _repeats(3) | balanced(5)))
 def fold_sizes(spark, sf_dir):
     rows = frames(spark, sf_dir)
     return split_summary(rows.join(assign_folds(rows, KEY, 5, 3, SEED), KEY), KEY, ["repeat", "fold"])

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from framecv.functions.hashing import HASH_SPAN, hash52
 from framecv.functions.scalars import truncated_count
 from framecv.operators.position import keyed_join
+from framecv.session import materialize
 
 HASH_RANGES = 1024
 
@@ -33,28 +34,32 @@ def _match(columns: Sequence[str]) -> Column:
     return cond
 
 
-def hash_rank(entities: DataFrame, key: str, draw: Column, by: Sequence[str] = (), ranges: int = HASH_RANGES) -> DataFrame:
-    """Adds ``rank`` (zero-based, by ``draw`` then key) and ``n``, inside each ``by`` group."""
+def hash_rank(entities: DataFrame, key: str, draw: Column, by: Sequence[str] = (), ranges: int = HASH_RANGES,
+              weight: str | None = None) -> DataFrame:
+    """Adds ``rank`` (zero-based, by ``draw`` then key) and ``n``, inside each ``by`` group.
+
+    With a weight they are the weight of the earlier entities and that of all.
+    """
     width = HASH_SPAN // ranges
+    unit = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     drawn = entities.withColumn("_draw", draw).withColumn("_range", F.expr(f"_draw div {width}"))
-    counts = drawn.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    counts = drawn.groupBy(*by, "_range").agg(F.sum(unit).alias("_size"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    lower = F.sum("_size").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = (Window.unboundedPreceding, -1)
+    lower = F.sum("_size").over(group.orderBy("_range").rowsBetween(*earlier))
     offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_range"]],
                             F.coalesce(lower, F.lit(0)).alias("_before"), F.sum("_size").over(group).alias("_n"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_draw", key)) - 1
-    joined = drawn.withColumn("_inside", inside).join(offsets, _match([*by, "_range"]), "inner")
+    inside = F.sum(unit).over(Window.partitionBy(*by, "_range").orderBy("_draw", key).rowsBetween(*earlier))
+    joined = drawn.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, _match([*by, "_range"]), "inner")
     return joined.select(*entities.columns, (F.col("_inside") + F.col("_before")).cast("bigint").alias("rank"),
                          F.col("_n").cast("bigint").alias("n"))
 
 
-def stratum_rank(entities: DataFrame, key: str, draw: Column, stratum: str, by: Sequence[str] = (),
-                 descending: bool = False) -> DataFrame:
+def stratum_rank(entities: DataFrame, key: str, draw: Column, stratum: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank by (stratum, draw) inside each ``by`` group: strata in order, seeded shuffle inside a stratum."""
     sizes = entities.groupBy(*by, stratum).agg(F.count(F.lit(1)).alias("_size"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    level = F.col(stratum).desc_nulls_last() if descending else F.col(stratum).asc_nulls_first()
-    lower = F.sum("_size").over(group.orderBy(level).rowsBetween(Window.unboundedPreceding, -1))
+    lower = F.sum("_size").over(group.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, stratum]],
                           F.coalesce(lower, F.lit(0)).alias("_start"))
     joined = hash_rank(entities, key, draw, [*by, stratum]).join(starts, _match([*by, stratum]), "inner")
@@ -92,20 +97,62 @@ def test_rows(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
     return keyed_join(df, split.where(~F.col("is_test")).select(key), key, "left_anti")
 
 
+def _deal_heavy(sizes: Sequence[int], k: int) -> tuple[list[int], list[int]]:
+    """Each size, largest first, to the fold with the fewest rows so far; folds and final loads."""
+    loads, folds = [0] * k, []
+    for size in sizes:
+        fold = loads.index(min(loads))
+        loads[fold] += size
+        folds.append(fold)
+    return folds, loads
+
+
+def _fill_bounds(loads: Sequence[int], rest: int) -> list[float]:
+    """Where the remaining rows, laid end to end, change fold so that all folds fill to one level."""
+    low = sorted(loads)
+    level = min((rest + sum(low[:m])) / m for m in range(1, len(low) + 1))
+    room = [max(0.0, level - load) for load in loads]
+    return [sum(room[:i + 1]) for i in range(len(room) - 1)]
+
+
+def _balanced_folds(df: DataFrame, key: str, k: int, repeats: int, seed: int) -> DataFrame:
+    """Entities with more than 1/20 of a fold (fewer than 20 k of them) are dealt one by one, the largest
+    first. All others are laid end to end in seeded order and cut where the folds are full."""
+    entities = materialize(entity_table(df, key))
+    total = entities.agg(F.sum("n_rows")).first()[0] or 0
+    limit = total / (20 * k)
+    repeated = entities.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    draw = hash52(F.col(key), F.lit(seed) + F.lit(100) * F.col("repeat"), "fold")
+    heavy = repeated.where(F.col("n_rows") > limit).withColumn("_draw", draw).collect()
+    dealt, loads = [], [0] * k
+    for repeat in range(repeats):
+        own = sorted((r for r in heavy if r["repeat"] == repeat), key=lambda r: (-r["n_rows"], r["_draw"]))
+        folds, loads = _deal_heavy([r["n_rows"] for r in own], k)
+        dealt += [(r[key], repeat, fold) for r, fold in zip(own, folds)]
+    bounds = _fill_bounds(loads, total - sum(loads))
+    light = hash_rank(repeated.where(F.col("n_rows") <= limit), key, draw, ["repeat"], weight="n_rows")
+    fold = F.lit(0)
+    for bound in bounds:
+        fold = fold + (F.col("rank") >= F.lit(bound)).cast("int")
+    out = light.select(key, "repeat", fold.alias("fold"))
+    if not dealt:
+        return out
+    schema = T.StructType([entities.schema[key], T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType())])
+    return out.unionByName(df.sparkSession.createDataFrame(dealt, schema))
+
+
 def assign_folds(df: DataFrame, key: str, k: int, repeats: int, seed: int, stratify: str | None = None) -> DataFrame:
     """``(key, repeat, fold)``: every entity in exactly one fold of every repeat.
 
     Stratified: entities are dealt class by class, so class and entity counts of the folds differ by
-    one at the most. Otherwise they are dealt by falling row count, back and forth over the folds.
+    one at the most. Otherwise folds hold equal numbers of rows, to 1/20, unless one entity alone is larger.
     """
+    if stratify is None:
+        return _balanced_folds(df, key, k, repeats, seed)
     entities = entity_table(df, key, stratify).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     draw = hash52(F.col(key), F.lit(seed) + F.lit(100) * F.col("repeat"), "fold")
-    if stratify is not None:
-        ranked = stratum_rank(entities, key, draw, stratify, ["repeat"])
-        return ranked.select(key, "repeat", (F.col("rank") % k).cast("int").alias("fold"))
-    ranked = stratum_rank(entities, key, draw, "n_rows", ["repeat"], descending=True)
-    turn = (F.col("rank") % (2 * k)).cast("int")
-    return ranked.select(key, "repeat", F.when(turn < k, turn).otherwise(F.lit(2 * k - 1) - turn).alias("fold"))
+    ranked = stratum_rank(entities, key, draw, stratify, ["repeat"])
+    return ranked.select(key, "repeat", (F.col("rank") % k).cast("int").alias("fold"))
 
 
 def subsample_entities(df: DataFrame, key: str, fraction: float, seed: int, min_entities: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from framecv.functions.hashing import gaussian, hash52, uniform
 from framecv.operators.metrics import split_summary
 from framecv.operators.perturb import add_label_noise, flipped_labels, scramble_labels, scrambled_labels
-from framecv.operators.split import (assign_folds, entity_table, experiment_grid, hash_rank, seeded_order, split_entities,
+from framecv.operators.split import (_deal_heavy, _fill_bounds, assign_folds, entity_table, experiment_grid, hash_rank, seeded_order, split_entities,
                                      subsample_entities, subsample_sweep, sweep_levels, test_rows as held_out_rows, train_rows)
 
 
@@ -72,10 +72,29 @@ def test_stratified_folds_are_even(rows):
     assert all(r[2] <= 1 for r in counts)
 
 
-def test_plain_folds_are_balanced_by_rows(spark):
+@pytest.mark.parametrize("k", [2, 5])
+def test_plain_folds_are_balanced_by_rows(spark, k):
     df = spark.range(20000).select((F.pow(F.col("id") % 211, 2) % 97).cast("int").alias("entity"))
-    sizes = [r["n_rows"] for r in split_summary(df.join(assign_folds(df, "entity", 5, 1, 1), "entity"), "entity", ["fold"]).collect()]
-    assert max(sizes) / (sum(sizes) / 5) <= 1.1
+    folds = assign_folds(df, "entity", k, 1, 1)
+    sizes = [r["n_rows"] for r in split_summary(df.join(folds, "entity"), "entity", ["fold"]).collect()]
+    assert sum(sizes) == 20000 and max(sizes) / (20000 / k) <= 1.05
+
+
+def test_a_huge_entity_gets_a_fold_of_its_own(spark):
+    df = spark.range(30000).select(F.when(F.col("id") % 5 < 2, -1).otherwise(F.col("id") % 400).cast("int").alias("entity"))
+    for repeat in (0, 1):
+        folds = assign_folds(df, "entity", 5, 2, 1).where(F.col("repeat") == repeat)
+        sizes = {r["fold"]: r["n_rows"] for r in split_summary(df.join(folds, "entity"), "entity", ["fold"]).collect()}
+        own = folds.where("entity = -1").first()["fold"]
+        assert sizes.pop(own) == 12000
+        assert len(sizes) == 4 and max(sizes.values()) - min(sizes.values()) <= 150
+
+
+def test_fill_bounds():
+    assert _fill_bounds([0, 0], 10) == [5.0]
+    assert _fill_bounds([100, 0, 10], 30) == [0.0, 20.0]
+    assert _fill_bounds([3, 3, 3], 0) == [0.0, 0.0]
+    assert _deal_heavy([5, 4, 3, 3], 2) == ([0, 1, 1, 0], [8, 7])
 
 
 def test_subsample(rows):
