@@ -32,8 +32,7 @@ def spread(df: DataFrame, column: str) -> DataFrame:
     """Rows over all cores before work that is heavy per row. A small file is one row group and would
     keep one core busy; a table of at least as many splits as there are cores is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores, column)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, column)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -48,7 +47,7 @@ def frames(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("frame"),
         F.col("l_suppkey").alias("replica"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
-        F.col("l_discount").alias("discount"), F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"), F.sqrt("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"))
 
 
@@ -113,7 +112,7 @@ def count_of(n: str, fraction: float) -> str:
 ORDER_SQL = ", ".join(ORDER)
 CTES: dict[str, str] = {
     "frames": """SELECT l_partkey AS entity, l_orderkey AS run, l_linenumber AS frame, l_suppkey AS replica,
-        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_discount AS discount, l_extendedprice AS price,
+        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_discount AS discount, sqrt(l_extendedprice) AS price,
         l_quantity AS quantity, l_tax AS tax FROM lineitem""",
     "targets": """SELECT p_partkey AS entity, p_retailprice - 950.0::DOUBLE AS y, CAST(p_size > 25 AS INTEGER) AS y_bin,
         CAST((p_size - 1) // 17 AS INTEGER) AS y_cls FROM part""",

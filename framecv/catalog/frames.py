@@ -67,9 +67,9 @@ def block_means_large_entities(spark, sf_dir):
 _STATS = " UNION ALL ".join(f"SELECT '{c}' AS colname, avg({c}) AS mean, stddev_samp({c}) AS std FROM frames" for c in FEATURES)
 
 
-@query(sql(_STATS, "frames", rounds="mean std", digits=9))
+@query(sql(_STATS, "frames", rounds="mean std", digits=8))
 def train_statistics(spark, sf_dir):
-    return rounded(stats_long(fit_stats(frames(spark, sf_dir), FEATURES), FEATURES), 9)
+    return rounded(stats_long(fit_stats(frames(spark, sf_dir), FEATURES), FEATURES), 8)
 
 
 @query(sql("SELECT entity, sum(discount) AS discount, sum(price) AS price, sum(quantity) AS quantity, sum(tax) AS tax, sum(flat) AS flat "
@@ -93,10 +93,10 @@ def _folded(spark, sf_dir):
 
 
 @query(sql(f"SELECT held AS fold, {_FOLD_STATS} FROM (SELECT DISTINCT fold AS held FROM folded) JOIN folded ON fold <> held GROUP BY held",
-           "frames", _FOLDED, " ".join(f"mean_{c} std_{c}" for c in FEATURES)))
+           "frames", _FOLDED, " ".join(f"mean_{c} std_{c}" for c in FEATURES), 8))
 def train_statistics_by_fold(spark, sf_dir):
     """Statistics of the other folds from one pass over the rows."""
-    return rounded(fold_train_stats(_folded(spark, sf_dir), FEATURES, []))
+    return rounded(fold_train_stats(_folded(spark, sf_dir), FEATURES, []), 8)
 
 
 @query(sql(f"""SELECT fold, count(*) AS n, sum(abs((discount - mean_discount) / std_discount)) AS discount,

@@ -65,17 +65,17 @@ _DELTA = {"delta": "SELECT report, frame, j, sum(CASE WHEN s = 0 THEN v ELSE -v
 
 
 @query(sql(f"SELECT {_TERM} AS term, avg(d) AS average, stddev_pop(d) AS sd, stddev_pop(d) / sqrt(count(*)) AS sem, count(*) AS n FROM delta GROUP BY j",
-           "frames", _LONG | _DELTA, "average sd sem", 5))
+           "frames", _LONG | _DELTA, "average sd sem", 8))
 def energy_delta_summary(spark, sf_dir):
     """Complex - Receptor - Ligand per report and frame, then average, spread and standard error."""
     rows = parse_energy_reports(energy_texts(spark, sf_dir).drop("path"))
-    return rounded(energy_summary(energy_delta(rows, ["report", "frame"]), []), 5)
+    return rounded(energy_summary(energy_delta(rows, ["report", "frame"]), []), 8)
 
 
 @query(sql(f"SELECT {_NAMES} AS section, {_TERM} AS term, avg(v) AS average, stddev_pop(v) AS sd, stddev_pop(v) / sqrt(count(*)) AS sem, count(*) AS n FROM energies GROUP BY s, j",
-           "frames", _LONG, "average sd sem", 5))
+           "frames", _LONG, "average sd sem", 8))
 def energy_term_summary(spark, sf_dir):
-    return rounded(energy_summary(parse_energy_reports(energy_texts(spark, sf_dir).drop("path"))), 5)
+    return rounded(energy_summary(parse_energy_reports(energy_texts(spark, sf_dir).drop("path"))), 8)
 
 
 _GAS, _ALL = len(GAS_TERMS), len(GAS_TERMS) + len(SOLVENT_TERMS)
@@ -85,17 +85,17 @@ _ROLLUP = {"sums": f"""SELECT s, report, frame, sum(CASE WHEN j < {_GAS} THEN v
 
 
 @query(sql(f"""SELECT {_NAMES} AS section, avg(gas) AS "GGAS", avg(solvent) AS "GSOLV", avg(gas + solvent) AS "TOTAL" FROM sums GROUP BY s""",
-           "frames", _LONG | _ROLLUP, '"GGAS" "GSOLV" "TOTAL"', 5))
+           "frames", _LONG | _ROLLUP, '"GGAS" "GSOLV" "TOTAL"', 8))
 def energy_term_rollups(spark, sf_dir):
     rows = energy_rollups(parse_energy_reports(energy_texts(spark, sf_dir).drop("path")))
-    return rounded(rows.groupBy("section").agg(*[F.avg(c).alias(c) for c in ("GGAS", "GSOLV", "TOTAL")]), 5)
+    return rounded(rows.groupBy("section").agg(*[F.avg(c).alias(c) for c in ("GGAS", "GSOLV", "TOTAL")]), 8)
 
 
 @query(sql(f"""SELECT {_NAMES} AS section, 'GGAS' AS term, sqrt(sum(q)) AS sd_prop FROM spreads WHERE j < {_GAS} GROUP BY s
     UNION ALL SELECT {_NAMES}, 'GSOLV', sqrt(sum(q)) FROM spreads WHERE j >= {_GAS} GROUP BY s
-    UNION ALL SELECT {_NAMES}, 'TOTAL', sqrt(sum(q)) FROM spreads GROUP BY s""", "frames", _LONG | _ROLLUP, "sd_prop", 5))
+    UNION ALL SELECT {_NAMES}, 'TOTAL', sqrt(sum(q)) FROM spreads GROUP BY s""", "frames", _LONG | _ROLLUP, "sd_prop", 8))
 def energy_propagated_spread(spark, sf_dir):
-    return rounded(propagated_sd(parse_energy_reports(energy_texts(spark, sf_dir).drop("path"))), 5)
+    return rounded(propagated_sd(parse_energy_reports(energy_texts(spark, sf_dir).drop("path"))), 8)
 
 
 # ---- surface ---------------------------------------------------------------------------------

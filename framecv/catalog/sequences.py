@@ -18,12 +18,17 @@ def center_kmers(spark, sf_dir):
     return sequences(spark, sf_dir).select("doc_id", *[center_kmer(seq, k).alias(f"k{k}") for k in (12, 10, 8, 6)])
 
 
-@query(sql("""SELECT doc_id, length(s) >= 21 AND substr(s, 16, 6) = 'CACGTG' AS has_ebox, length(s) >= 17 AND substr(s, 16, 2) = 'CG' AS has_step FROM
-    (SELECT doc_id, substr(seq, 1, CAST(doc_id % 37 AS INTEGER)) AS s FROM seqs)""", "seqs"))
+def _at_15(column: str, motif: str) -> str:
+    return f"length({column}) >= {15 + len(motif)} AND substr({column}, 16, {len(motif)}) = '{motif}'"
+
+
+@query(sql(f"""SELECT doc_id, {_at_15('seq', 'CACGTG')} AS has_ebox, {_at_15('seq', 'CG')} AS has_step, {_at_15('text', 'en')} AS in_text,
+    {_at_15('lang', 'en')} AS in_code FROM seqs JOIN documents USING (doc_id)""", "seqs"))
 def motif_at_position(spark, sf_dir):
-    """Motif at a fixed place; sequences cut too short never match."""
-    cut = sequences(spark, sf_dir).select("doc_id", F.expr("substring(seq, 1, cast(doc_id % 37 as int))").alias("s"))
-    return cut.select("doc_id", has_motif(F.col("s")).alias("has_ebox"), has_motif(F.col("s"), "CG").alias("has_step"))
+    """Motif at a fixed place; texts that end before it never match."""
+    both = sequences(spark, sf_dir).drop("n_chars").join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    return both.select("doc_id", has_motif(F.col("seq")).alias("has_ebox"), has_motif(F.col("seq"), "CG").alias("has_step"),
+                       has_motif(F.col("text"), "en").alias("in_text"), has_motif(F.col("lang"), "en").alias("in_code"))
 
 
 @query(sql("""SELECT doc_id, substr(seq, 15, 1) || '_' || substr(seq, 22, 1) AS flank_1, substr(seq, 14, 2) || '_' || substr(seq, 22, 2) AS flank_2,

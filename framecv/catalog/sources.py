@@ -74,12 +74,12 @@ def split_store(spark, sf_dir):
 
 
 @query(sql("SELECT " + ", ".join(f"avg({c}) AS mean_{c}, stddev_samp({c}) AS std_{c}" for c in FEATURES) + " FROM frames", "frames",
-           rounds=" ".join(f"mean_{c} std_{c}" for c in FEATURES), digits=9))
+           rounds=" ".join(f"mean_{c} std_{c}" for c in FEATURES), digits=8))
 def statistics_store(spark, sf_dir):
     """Statistics stored as one row per feature and loaded as one wide row."""
     path = scratch_path(spark, "stats")
     save_stats(fit_stats(frames(spark, sf_dir), FEATURES), FEATURES, path)
-    return rounded(load_stats(spark, path, FEATURES), 9)
+    return rounded(load_stats(spark, path, FEATURES), 8)
 
 
 @query(sql('SELECT rep, fold, count(*) AS n, sum(pred_reg) AS predicted, sum(true_reg) AS "true" FROM preds GROUP BY rep, fold', "preds",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from framecv.functions.scalars import numeric_features
@@ -66,10 +67,12 @@ def load_fold(spark: SparkSession, path: str, repeat: int, fold: int, validation
 
 def resolve_dataset(spark: SparkSession, preferred: str, fallback: str) -> DataFrame:
     """Parquet table at the preferred path, or at the fallback if that does not exist."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(preferred)
-    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.parquet(preferred if exists else fallback)
+    try:
+        return spark.read.parquet(preferred)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.read.parquet(fallback)
 
 
 def save_stats(stats: DataFrame, features: Sequence[str], path: str, mode: str = "errorifexists") -> None:
