@@ -8,6 +8,7 @@ from framecv.catalog.base import FEATURES, KEY, ORDER, SEED, frames, labelled, l
 from framecv.catalog.frames import PREPARED
 from framecv.catalog.metrics import GROUPS, REG_COLS, reg_sql
 from framecv.catalog.splits import ENTITIES, _repeats, balanced
+from framecv.functions.scalars import fraction_tag
 from framecv.operators.frames import tail_blocks
 from framecv.operators.metrics import regression_metrics
 from framecv.operators.split import assign_folds
@@ -128,7 +129,7 @@ def _values(task: str, averaged: bool = False):
     return [F.col(p).cast("double").alias(names[0]), F.col(t).cast("double").alias(names[1])]
 
 
-def _named(rows, task, level=None, prefix="noi"):
+def _named(task, level=None, prefix="noi"):
     return file_name(task, F.col("is_test"), F.col("scr_frac"), F.col("rep"), F.col("fold"), level, prefix)
 
 
@@ -141,11 +142,8 @@ _BY_TASK = " UNION ALL ".join(
 def prediction_files(spark, sf_dir):
     """Files of three tasks: metadata from the names, columns renamed and cast by task."""
     rows = predictions(spark, sf_dir)
-    parts = None
-    for task in ("reg", "bin", "mclass"):
-        part = rows.select(KEY, *_values(task), _named(rows, task).alias("file"))
-        parts = part if parts is None else parts.unionByName(part)
-    path = _stored(parts, F.col("file"), "predictions", ["Predicted", "True"])
+    entries = F.array(*[F.struct(*_values(task), _named(task).alias("file")) for task in ("reg", "bin", "mclass")])
+    path = _stored(rows.select(KEY, F.inline(entries)), F.col("file"), "predictions", ["Predicted", "True"])
     tasks = read_by_task(spark, path, "file=predictions_*")
     out = None
     for task, (p, t) in {"reg": ("Predicted_reg", "True_reg"), "bin": ("Predicted_class", "True_class"), "mclass": ("Predicted_mclass", "mclass")}.items():
@@ -159,7 +157,7 @@ def prediction_files(spark, sf_dir):
     sum(pred_reg) AS predicted FROM preds GROUP BY ALL""", "preds", rounds="predicted", digits=4))
 def noise_prediction_files(spark, sf_dir):
     rows = predictions(spark, sf_dir)
-    path = _stored(rows, _named(rows, "reg", F.col("noise_level")), "noise", _values("reg"))
+    path = _stored(rows, _named("reg", F.col("noise_level")), "noise", _values("reg"))
     back = read_predictions(spark, path, "file=predictions_*", sweep="noi")
     return rounded(back.groupBy("scr_frac", "noise_level", "is_test", "rep", "fold").agg(F.count("*").alias("n"), F.sum("Predicted").alias("predicted")), 4)
 
@@ -168,7 +166,7 @@ def noise_prediction_files(spark, sf_dir):
            "preds", rounds="predicted", digits=4))
 def subsample_prediction_files(spark, sf_dir):
     rows = predictions(spark, sf_dir)
-    path = _stored(rows, _named(rows, "reg", 0.25 * (1 + F.col("frame") % 4), "sub"), "subsample", _values("reg"))
+    path = _stored(rows, _named("reg", 0.25 * (1 + F.col("frame") % 4), "sub"), "subsample", _values("reg"))
     back = read_predictions(spark, path, "file=predictions_*", sweep="sub")
     return rounded(back.groupBy("scr_frac", "sub_pct", "is_test", "rep", "fold").agg(F.count("*").alias("n"), F.sum("Predicted").alias("predicted")), 4)
 
@@ -179,12 +177,11 @@ def subsample_prediction_files(spark, sf_dir):
 def nested_prediction_files(spark, sf_dir):
     """A search at any depth, with files of fold averages under other column names."""
     rows = predictions(spark, sf_dir)
-    path = _stored(rows, _named(rows, "reg"), "nested", _values("reg"))
+    path = _stored(rows, _named("reg"), "nested", _values("reg"))
     means = rows.where(~F.col("is_test")).groupBy("scr_frac", KEY).agg(F.avg("pred_reg").alias("pred_reg"), F.avg("true_reg").alias("true_reg"))
-    from framecv.functions.scalars import fraction_tag
     name = F.concat(F.lit("predictions_reg_final_avg_scr"), fraction_tag(F.col("scr_frac")), F.lit(".csv"))
     averaged = _stored(means, name, "averaged", _values("reg", averaged=True))
-    back = collect_regression_predictions(spark, path, [averaged])
+    back = collect_regression_predictions(spark, path, averaged, "part-*", "part-*")
     return rounded(back.groupBy("scr_frac", "is_test", "rep", "fold", "final_avg").agg(F.count("*").alias("n"), F.sum("Predicted_reg").alias("predicted")), 4)
 
 

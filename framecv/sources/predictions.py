@@ -5,11 +5,9 @@ The name may be that of a file or of a directory written by Spark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from framecv.functions.scalars import parse_fraction
+from framecv.functions.scalars import fraction_tag, parse_fraction, percent_tag
 from framecv.sources.tables import _require
 
 # The layout of the file names.
@@ -21,6 +19,8 @@ RENAMES = {
 }
 SCHEMA = "Label string, Predicted double, True double"
 AVERAGED_SCHEMA = "Label string, AvgPredicted double, AvgTrue double"
+ROW_FILES = "{predictions_reg,predictions_test_reg}_scr*.csv"
+AVERAGED_FILES = "predictions_reg_final_avg_*.csv"
 
 
 def name_columns(path: Column) -> dict[str, Column]:
@@ -42,9 +42,8 @@ def name_columns(path: Column) -> dict[str, Column]:
 def _scan(spark: SparkSession, path: str, glob: str, schema: str, recursive: bool) -> DataFrame:
     reader = spark.read.option("header", True).option("enforceSchema", False).schema(schema)
     if recursive:
-        # only the leaf file name can be filtered here, so the path is matched below
         reader = reader.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-        return reader.csv(path)
+        return reader.option("pathGlobFilter", glob).csv(path)
     return reader.csv(f"{path.rstrip('/')}/{glob}")
 
 
@@ -52,6 +51,7 @@ def read_predictions(spark: SparkSession, path: str, glob: str = "predictions_*"
                      sweep: str | None = None, recursive: bool = False) -> DataFrame:
     """Row predictions of every file below ``path`` whose name is understood.
 
+    ``glob`` selects entries of the folder, or with ``recursive`` the files themselves at any depth.
     ``sweep``: None for plain names, 'noi' or 'sub' for names with a noise or subsample level;
     the level becomes ``noise_level`` (a fraction) or ``sub_pct`` (percent).
     """
@@ -91,23 +91,22 @@ def standard_names(df: DataFrame) -> DataFrame:
     return out
 
 
-def collect_regression_predictions(spark: SparkSession, path: str, averaged: Sequence[str] = ()) -> DataFrame:
-    """Regression rows below a folder at any depth, unreadable files skipped.
+def collect_regression_predictions(spark: SparkSession, path: str, averaged: str | None = None, files: str = ROW_FILES,
+                                   averaged_files: str = AVERAGED_FILES) -> DataFrame:
+    """Regression rows below a folder at any depth, corrupt files skipped.
 
-    ``averaged``: folders with files that hold averages over the folds (other column names).
+    Files of averages over the folds have other column names; they are looked for in the same
+    folder unless ``averaged`` names another. The last two arguments select files by their own names.
     """
-    rows = standard_names(read_predictions(spark, path, recursive=True).where(~F.col("final_avg")))
-    for folder in averaged:
-        more = read_predictions(spark, folder, schema=AVERAGED_SCHEMA, recursive=True).where(F.col("final_avg"))
-        rows = rows.unionByName(standard_names(more))
-    return rows.where(F.col("model_type") == "reg").drop("model_type")
+    rows = read_predictions(spark, path, files, recursive=True).where(~F.col("final_avg"))
+    means = read_predictions(spark, averaged or path, averaged_files, AVERAGED_SCHEMA, recursive=True).where(F.col("final_avg"))
+    both = standard_names(rows).unionByName(standard_names(means))
+    return both.where(F.col("model_type") == "reg").drop("model_type")
 
 
 def file_name(task: str, is_test: Column, scr_frac: Column, rep: Column, fold: Column, level: Column | None = None,
               prefix: str = "noi") -> Column:
     """Name under which a row is stored; the inverse of ``name_columns``."""
-    from framecv.functions.scalars import fraction_tag, percent_tag
-
     tag = F.concat(F.lit("_"), percent_tag(prefix, level)) if level is not None else F.lit("")
     place = F.concat(F.lit("_rep"), rep.cast("string"), F.lit("_fold"), fold.cast("string"))
     return F.concat(F.lit("predictions_"), F.when(is_test, F.lit("test_")).otherwise(F.lit("")), F.lit(f"{task}_scr"),

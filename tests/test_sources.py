@@ -133,9 +133,13 @@ def test_prediction_sweeps(spark, tmp_path):
 def test_nested_predictions(spark, tmp_path):
     write(tmp_path / "deep" / "er" / "predictions_reg_scr0p00_rep0_fold0.csv", "Label,Predicted,True\nA,1.5,0.5\n")
     write(tmp_path / "deep" / "predictions_test_reg_scr0p00.csv", "Label,Predicted,True\nA,2.5,0.5\n")
-    write(tmp_path / "means" / "predictions_reg_final_avg_scr0p00.csv", "Label,AvgPredicted,AvgTrue\nA,3.5,0.5\n")
-    rows = collect_regression_predictions(spark, str(tmp_path / "deep"), [str(tmp_path / "means")]).collect()
+    write(tmp_path / "deep" / "predictions_reg_final_avg_scr0p00.csv", "Label,AvgPredicted,AvgTrue\nA,3.5,0.5\n")
+    write(tmp_path / "deep" / "predictions_bin_scr0p00_rep0_fold0.csv", "Label,Predicted,True\nA,1,0\n")
+    write(tmp_path / "deep" / "metrics.csv", "a,b\n1,2\n")
+    rows = collect_regression_predictions(spark, str(tmp_path / "deep")).collect()
     assert {(r["Predicted_reg"], r["is_test"], r["final_avg"]) for r in rows} == {(1.5, False, False), (2.5, True, False), (3.5, False, True)}
+    (tmp_path / "deep" / "predictions_reg_final_avg_scr0p00.csv").unlink()
+    assert collect_regression_predictions(spark, str(tmp_path / "deep")).count() == 2
     with pytest.raises(ValueError):
         standard_names(spark.createDataFrame([(1.0,)], "Predicted double"))
 
