@@ -15,7 +15,7 @@ from framecv.operators.split import assign_folds
 from framecv.operators.stats import fit_stats
 from framecv.plans.crossval import with_folds
 from framecv.plans.search import best_trial, trial_loss
-from framecv.session import materialize, scratch_path
+from framecv.session import materialize, scratch_path, write_partitioned
 from framecv.sources.predictions import collect_regression_predictions, file_name, read_by_task, read_predictions
 from framecv.sources.tables import (format_metrics, load_fold, load_stats, model_matrix, params_dict, read_frames, read_labels,
                                     read_csv, read_params, resolve_dataset, save_stats, write_params, write_predictions, write_splits)
@@ -119,7 +119,7 @@ def _stored(rows, name_column, name: str, columns) -> str:
     """One directory per name, in one job."""
     path = scratch_path(rows.sparkSession, name)
     out = rows.select(F.col(KEY).cast("string").alias("Label"), *columns, name_column.alias("file"))
-    out.write.partitionBy("file").option("header", True).csv(path)
+    write_partitioned(out, ["file"]).option("header", True).csv(path)
     return path
 
 

@@ -27,10 +27,12 @@ def entity_table(df: DataFrame, key: str, label: str | None = None) -> DataFrame
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
-def _match(columns: Sequence[str]) -> Column:
+def _match(df: DataFrame, nullable: Sequence[str], always: Sequence[str] = ()) -> Column:
+    """Join condition on columns of which some may be NULL; plain equality keeps the partitioning of a window."""
     cond = F.lit(True)
-    for c in columns:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    for c in [*nullable, *always]:
+        safe = c in nullable and df.schema[c].nullable
+        cond = cond & (F.col(c).eqNullSafe(F.col(f"_k_{c}")) if safe else F.col(c) == F.col(f"_k_{c}"))
     return cond
 
 
@@ -50,7 +52,8 @@ def hash_rank(entities: DataFrame, key: str, draw: Column, by: Sequence[str] = (
     offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_range"]],
                             F.coalesce(lower, F.lit(0)).alias("_before"), F.sum("_size").over(group).alias("_n"))
     inside = F.sum(unit).over(Window.partitionBy(*by, "_range").orderBy("_draw", key).rowsBetween(*earlier))
-    joined = drawn.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, _match([*by, "_range"]), "inner")
+    placed = drawn.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    joined = placed.join(offsets, _match(placed, by, ["_range"]), "inner")
     return joined.select(*entities.columns, (F.col("_inside") + F.col("_before")).cast("bigint").alias("rank"),
                          F.col("_n").cast("bigint").alias("n"))
 
@@ -62,7 +65,8 @@ def stratum_rank(entities: DataFrame, key: str, draw: Column, stratum: str, by:
     lower = F.sum("_size").over(group.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, stratum]],
                           F.coalesce(lower, F.lit(0)).alias("_start"))
-    joined = hash_rank(entities, key, draw, [*by, stratum]).join(starts, _match([*by, stratum]), "inner")
+    ranked = hash_rank(entities, key, draw, [*by, stratum])
+    joined = ranked.join(starts, _match(ranked, [*by, stratum]), "inner")
     return joined.select(*entities.columns, (F.col("rank") + F.col("_start")).cast("bigint").alias("rank"),
                          F.col("rank").alias("stratum_rank"), F.col("n").alias("stratum_n"))
 

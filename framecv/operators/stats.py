@@ -81,8 +81,8 @@ def standardize_by_fold(df: DataFrame, stats: DataFrame, features: Sequence[str]
                         fold: str = "fold") -> DataFrame:
     """Standardise each row with the statistics of the training part of its own fold.
 
-    The statistics hold one row per fold, far below the broadcast limit, which Spark checks by itself.
+    The statistics are broadcast: they hold one row per fold of every repeat or level in ``by``.
     """
-    joined = df.join(stats, [*by, fold], "inner")
+    joined = df.join(F.broadcast(stats), [*by, fold], "inner")
     scaled = {c: centred(F.col(f"`{c}`"), F.col(f"`mean_{c}`"), F.col(f"`std_{c}`")) for c in features}
     return joined.withColumns(scaled).drop(*[f"mean_{c}" for c in features], *[f"std_{c}" for c in features])

@@ -31,7 +31,7 @@ def fit_folds(folded: DataFrame, estimator, parallelism: int = 4) -> Models:
     """One model per (repeat, fold), trained on the other folds of the repeat.
 
     Each fit is a distributed job; a few are submitted at a time. Pass a table that is cheap
-    to read again (written or checkpointed).
+    to read again; written by repeat and fold, each fit reads only its own part.
     """
     def fit(pair):
         repeat, fold = pair

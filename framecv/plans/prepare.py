@@ -89,9 +89,9 @@ def tail_blocks_by_setting(frames: DataFrame, settings: DataFrame, key: str, ord
 
 
 def standardize_by_setting(blocks: DataFrame, features: Sequence[str], by: Sequence[str] = ("setting",)) -> DataFrame:
-    """Scale with the statistics of the rows of the same setting; one statistics row per setting is joined."""
+    """Scale with the statistics of the rows of the same setting. There is one statistics row per setting."""
     aggs = [f for c in features for f in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))]
-    joined = blocks.join(blocks.groupBy(*by).agg(*aggs), list(by), "inner")
+    joined = blocks.join(F.broadcast(blocks.groupBy(*by).agg(*aggs)), list(by), "inner")
     scaled = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.col(c) - F.col(f"_m_{c}"))
               for c in features}
     return joined.withColumns(scaled).select(*blocks.columns)

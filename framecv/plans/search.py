@@ -89,7 +89,7 @@ def run_trials(frames: DataFrame, trials: DataFrame, assignment: DataFrame, key:
     spark = frames.sparkSession
     settings = settings_of(trials)
     blocks = materialize(tail_blocks_by_setting(frames, settings, key, order, seed, label, features))
-    prepared = materialize(with_folds(standardize_by_setting(blocks, features), assignment, key))
+    prepared = materialize(with_folds(standardize_by_setting(blocks, features), assignment, key), ["setting", "repeat", "fold"])
     losses = []
     for row in trials.collect():
         setting = f"{int(row['keep_last_percent'])}_{int(row['navg'])}"

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,11 +26,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder.
+def write_partitioned(df: DataFrame, by: Sequence[str], mode: str = "errorifexists") -> DataFrameWriter:
+    """Writer with one directory per value. The rows are gathered by value first, so that not every task
+    writes to every directory; Spark splits a value that holds too many rows over several tasks."""
+    return df.hint("rebalance", *by).write.mode(mode).partitionBy(*by)
+
+
+def materialize(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, in directories by the given columns.
 
     It outlives lost executors, and later reads take only the columns and rows they need.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (write_partitioned(df, by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from framecv.functions.scalars import numeric_features
 from framecv.operators.stats import stats_long, stats_wide
+from framecv.session import write_partitioned
 
 
 def _require(df: DataFrame, columns: Sequence[str], what: str) -> None:
@@ -56,7 +57,7 @@ def model_matrix(df: DataFrame, key: str, label: str, features: Sequence[str] |
 
 
 def write_splits(df: DataFrame, path: str, by: Sequence[str] = ("repeat", "fold"), mode: str = "errorifexists") -> None:
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+    write_partitioned(df, by, mode).parquet(path)
 
 
 def load_fold(spark: SparkSession, path: str, repeat: int, fold: int, validation: bool = True) -> DataFrame:
@@ -89,7 +90,7 @@ def write_predictions(df: DataFrame, path: str, label: str = "entity", pred: str
                       by: Sequence[str] = (), fmt: str = "csv", mode: str = "errorifexists") -> None:
     """``Label, Predicted, True`` rows, in one directory per value of the ``by`` columns."""
     out = df.select(F.col(label).alias("Label"), F.col(pred).alias("Predicted"), F.col(truth).alias("True"), *by)
-    writer = out.write.mode(mode).partitionBy(*by) if by else out.write.mode(mode)
+    writer = write_partitioned(out, by, mode) if by else out.write.mode(mode)
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 
