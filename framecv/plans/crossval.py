@@ -88,6 +88,12 @@ def fold_metrics(predictions: DataFrame, key: str, task: str, by: Sequence[str]
     return class_metrics(entities, by, "avg_predicted", "avg_true", guard=True)
 
 
+def with_clean_truth(predictions: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """Score against undisturbed labels: by default the truth is what the models were trained on."""
+    clean = labels.select(key, F.col(label).cast("double").alias("true"))
+    return keyed_join(predictions.drop("true"), clean, key).select(*predictions.columns)
+
+
 def pooled_entities(predictions: DataFrame, key: str, task: str) -> DataFrame:
     """One prediction per entity from all folds and repeats."""
     return entity_predictions(predictions, key, task)

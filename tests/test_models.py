@@ -2,11 +2,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framecv.operators.frames import tail_blocks
 from framecv.operators.split import assign_folds
 from framecv.plans.crossval import (fit_folds, fold_metrics, importances, load_model, present_folds, save_models, score_folds,
-                                    score_holdout, with_folds)
+                                    score_holdout, with_clean_truth, with_folds)
 from framecv.plans.dependence import individual_curves, partial_dependence, with_grid
+from framecv.plans.experiment import label_noise, run_levels, scrambling, subsampling
 from framecv.plans.models import build_estimator
+from framecv.session import materialize
 from framecv.plans.search import FAILED, SPACES, best_trial, run_trials, sample_space, settings_of, trial_loss
 
 
@@ -117,3 +120,53 @@ def test_wrong_tasks_are_refused():
         build_estimator("mlp", "reg", ["x"], "y", {"n_classes": 2})
     with pytest.raises(ValueError):
         build_estimator("svm", "reg", ["x"], "y")
+
+
+NAMES = ["Delta_Entropy", "HB Energy", "Pi-Pi Energy"]
+
+
+@pytest.fixture(scope="module")
+def study(spark):
+    rng = np.random.default_rng(5)
+    data, truth = [], []
+    for e in range(60):
+        level = rng.normal()
+        truth.append((f"s{e:02d}", float(level), int(level > 0)))
+        data += [(f"s{e:02d}", f % 3, f, float(level + 0.3 * rng.normal()), float(rng.normal()), 1.0) for f in range(20)]
+    frames = spark.createDataFrame(data, "sequence string, run int, frame int, `Delta_Entropy` double, `HB Energy` double, `Pi-Pi Energy` double")
+    labels = spark.createDataFrame(truth, "sequence string, bind_avg double, improving int")
+    return frames, labels
+
+
+@pytest.mark.parametrize("task, label", [("reg", "bind_avg"), ("bin", "improving")])
+def test_scrambling_study(study, task, label):
+    frames, labels = study
+    blocks = materialize(tail_blocks(frames, "sequence", ["run", "frame"], 80, 4, 1, label, NAMES, labels.select("sequence", label)))
+    assert blocks.count() == 60 * 4
+    rows = run_levels(blocks, "sequence", label, task, build_estimator("linear", task, NAMES, label), [1.0, 0.0],
+                      scrambling("sequence", label, 3), k=3, seed=3).cache()
+    metric = "pear" if task == "reg" else "mcc"
+    by = ["scr_frac", "is_test", "repeat", "fold"]
+    mean = {(r["scr_frac"], r["is_test"]): r["m"] for r in fold_metrics(rows, "sequence", task, by).groupBy("scr_frac", "is_test").agg(F.avg(metric).alias("m")).collect()}
+    assert mean[0.0, False] > 0.7 and mean[0.0, True] > 0.7
+    assert mean[1.0, False] < 0.5
+    sides = rows.groupBy("sequence").agg(F.count_distinct("is_test").alias("d"))
+    assert sides.where("d > 1").count() == 0
+    clean = with_clean_truth(rows, labels.withColumn(label, F.col(label).cast("double")), "sequence", label)
+    assert clean.count() == rows.count() and clean.columns == rows.columns
+    true = {r["sequence"]: float(r[label]) for r in labels.collect()}
+    assert all(r["true"] == pytest.approx(true[r["sequence"]]) for r in clean.collect())
+
+
+def test_noise_and_subsample_studies(study):
+    frames, labels = study
+    blocks = materialize(tail_blocks(frames, "sequence", ["run", "frame"], 80, 4, 1, "improving", NAMES, labels.select("sequence", "improving")))
+    estimator = build_estimator("linear", "bin", NAMES, "improving")
+    noisy = run_levels(blocks, "sequence", "improving", "bin", estimator, [0.0, 0.2], label_noise("sequence", "improving", 1, "bin"),
+                       "noise_level", k=3, seed=3).cache()
+    true = {r["sequence"]: r["improving"] for r in labels.collect()}
+    changed = {(r["noise_level"], r["is_test"]) for r in noisy.collect() if r["true"] != true[r["sequence"]]}
+    assert changed == {(0.2, False)}
+    small = run_levels(blocks, "sequence", "improving", "bin", estimator, [1.0, 0.5], subsampling("sequence", 1, 3), "sub_frac", k=3, seed=3)
+    counts = {(r["sub_frac"], r["is_test"]): r["n"] for r in small.groupBy("sub_frac", "is_test").agg(F.count_distinct("sequence").alias("n")).collect()}
+    assert counts[0.5, False] == counts[1.0, False] // 2 and counts[0.5, True] == counts[1.0, True]
