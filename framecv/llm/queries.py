@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framecv.llm.chat import format_chats, read_chats
 from framecv.llm.common import table
 from framecv.llm.exact_dedup import exact_dedup, text_key
+from framecv.llm.near_dedup import near_components
 from framecv.session import materialize
 
 QUERIES: dict = {}
@@ -22,6 +23,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_near_dedup(spark, sf_dir):
+    return near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query(r"""
 WITH said AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
