@@ -108,9 +108,9 @@ def branch(rows: np.ndarray, marks: np.ndarray, loose: float, near: float, seed:
         cuts = np.flatnonzero(np.diff(marks[order, place])) + 1
         for part in np.split(order, cuts):
             if 1 < len(part) < len(rows):
-                branch(part, marks, loose, near, seed * 31 + place + 7, depth + 1, out)
+                branch(part, marks, loose, near, (seed * 31 + place + 7) & 0x7FFFFFFF, depth + 1, out)
             elif len(part) > 1:
-                branch(part, marks, loose, near, seed * 31 + place + 7, depth + 2, out)
+                branch(part, marks, loose, near, (seed * 31 + place + 7) & 0x7FFFFFFF, depth + 2, out)
 
 
 def by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
