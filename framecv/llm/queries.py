@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from framecv.llm.chat import format_chats, read_chats
 from framecv.llm.common import table
 from framecv.llm.exact_dedup import exact_dedup, text_key
+from framecv.llm.language import held_out, identify, train_languages
 from framecv.llm.near_dedup import near_components
+from framecv.llm.neighbours import nearest
 from framecv.session import materialize
 
 QUERIES: dict = {}
@@ -28,6 +30,12 @@ def op1_near_dedup(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+@query()
+def op3_nearest(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 @query(r"""
 WITH said AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -55,6 +63,13 @@ def op4_chat_format(spark, sf_dir):
         F.char_length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+@query()
+def op5_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    model = train_languages(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query(r"""
 WITH plain AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
