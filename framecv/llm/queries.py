@@ -8,10 +8,18 @@ from framecv.llm.chat import format_chats, read_chats
 from framecv.llm.common import table
 from framecv.llm.exact_dedup import exact_dedup, text_key
 from framecv.llm.language import held_out, identify, train_languages
+from framecv.llm.mixing import mix_sources, tempered_weights
 from framecv.llm.near_dedup import near_components
 from framecv.llm.neighbours import nearest
+from framecv.llm.packing import pack_documents
 from framecv.session import materialize
 
+def vocabulary() -> str:
+    """The tokenizer file's place; it is at the same path on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -78,3 +86,14 @@ def op6_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     keys = materialize(docs.select("doc_id", text_key(F.col("text")).alias("key")))
     return exact_dedup(keys, "doc_id", key_col="key").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op7_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs, tempered_weights(docs))
+
+
+@query()
+def op9_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
