@@ -12,6 +12,8 @@ from framecv.llm.mixing import mix_sources, tempered_weights
 from framecv.llm.near_dedup import near_components
 from framecv.llm.neighbours import nearest
 from framecv.llm.packing import pack_documents
+from framecv.llm.private import KINDS as PRIVATE, find_private, train_private
+from framecv.llm.secrets import KINDS as SECRETS, find_secrets, train_secrets
 from framecv.session import materialize
 
 def vocabulary() -> str:
@@ -97,3 +99,26 @@ def op7_mixing(spark, sf_dir):
 @query()
 def op9_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+def _span_columns(found, kinds):
+    """Counts of the base spans by kind, their digest, and all spans, as kind:start:end joined by commas."""
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, kinds), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query()
+def op8_private(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_columns(find_private(docs, train_private(docs)), PRIVATE)
+
+
+@query()
+def op10_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_columns(find_secrets(docs, train_secrets(docs)), SECRETS)
