@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from framecv.llm.common import quoted, without
+from framecv.llm.bloom import filter_bits, held_bits, possibly_held
+from framecv.llm.common import quoted
 from framecv.llm.components import connected_components
 from framecv.llm.shingles import GOLDEN, mix, numbers, shingle_sets
 from framecv.session import materialize
@@ -78,39 +79,37 @@ def sketch_texts(df: DataFrame, words: int, trees: int) -> DataFrame:
 
 # ---- trees -----------------------------------------------------------------------------------
 
-def leader_links(rows: np.ndarray, marks: np.ndarray, loose: float, near: float, out: list, rounds: int = 0) -> np.ndarray:
-    """Compare a leader with all others, link it with those that are loosely similar, let those that are near go,
-    and take the next leader; to the end or for some rounds. Returns the rows that are left."""
-    while len(rows) > 1:
-        leader, rest = rows[0], rows[1:]
-        same = (marks[rest] == marks[leader]).sum(axis=1) / SKETCH
-        out.extend((int(leader), int(x)) for x in rest[same >= loose])
-        rows = rest[same < near]
-        rounds -= 1
-        if rounds == 0:
-            break
-    return rows
-
-
-def branch(rows: np.ndarray, marks: np.ndarray, loose: float, near: float, seed: int, depth: int, out: list) -> None:
-    """A node of the tree: exhaustive when small; else a few leaders are taken out, and the rest goes down along
-    two tokens that the node's seed selects. Deep nodes are compared exhaustively at any size."""
+def leader_links(rows: np.ndarray, marks: np.ndarray, group: np.ndarray, loose: float, out: list, rounds: int) -> None:
+    """Compare leaders, one after the other, with the rows that are not in their group yet, and unite the groups of
+    rows that are loosely similar. One link is kept for each union, so a node of n rows gives less than n links."""
+    for leader in rows[:rounds]:
+        apart = rows[group[rows] != group[leader]]
+        if not len(apart):
+            continue
+        same = (marks[apart] == marks[leader]).sum(axis=1) / SKETCH
+        for x in apart[same >= loose]:
+            if group[x] != group[leader]:
+                out.append((int(leader), int(x)))
+                own = rows[group[rows] == group[x]]
+                group[own] = group[leader]
+
+
+def branch(rows: np.ndarray, marks: np.ndarray, group: np.ndarray, loose: float, seed: int, depth: int, out: list) -> None:
+    """A node of the tree: nothing to do if its rows are one group already; exhaustive when small; else a few leaders are
+    compared, and all go down along two tokens that the node's seed selects. Deep nodes are compared exhaustively at
+    any size."""
+    if (group[rows] == group[rows[0]]).all():
+        return
     if len(rows) <= LEAF or depth >= 8:
-        leader_links(rows, marks, loose, near, out)
+        leader_links(rows, marks, group, loose, out, len(rows))
         return
-    before = len(rows)
-    rows = leader_links(rows, marks, loose, near, out, 4)
-    while len(rows) > LEAF and len(rows) < 0.9 * before:
-        before = len(rows)
-        rows = leader_links(rows, marks, loose, near, out, 4)
+    leader_links(rows, marks, group, loose, out, 8)
     for place in (numbers(seed, 2) % np.uint64(SKETCH)).tolist():
         order = rows[np.argsort(marks[rows, place], kind="stable")]
         cuts = np.flatnonzero(np.diff(marks[order, place])) + 1
         for part in np.split(order, cuts):
-            if 1 < len(part) < len(rows):
-                branch(part, marks, loose, near, (seed * 31 + place + 7) & 0x7FFFFFFF, depth + 1, out)
-            elif len(part) > 1:
-                branch(part, marks, loose, near, (seed * 31 + place + 7) & 0x7FFFFFFF, depth + 2, out)
+            if len(part) > 1:
+                branch(part, marks, group, loose, (seed * 31 + place + 7) & 0x7FFFFFFF, depth + (1 if len(part) < len(rows) else 2), out)
 
 
 def by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -136,7 +135,7 @@ def _marks(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SKETCH)
 
 
-def node_links(nodes: DataFrame, loose: float, near: float) -> DataFrame:
+def node_links(nodes: DataFrame, loose: float) -> DataFrame:
     """nodes(node, id, sketch) of bounded nodes to loose links(a, b)."""
     def run(batches):
         for table in by_key(batches):
@@ -146,9 +145,9 @@ def node_links(nodes: DataFrame, loose: float, near: float) -> DataFrame:
             several = np.flatnonzero(ends - heads > 1)
             if not len(several):
                 continue
-            marks, out = _marks(table.column(2)), []
+            marks, group, out = _marks(table.column(2)), np.arange(len(keys)), []
             for k in several.tolist():
-                branch(np.arange(heads[k], ends[k]), marks, loose, near, int(keys[heads[k]] & 0x7FFFFFFF), 1, out)
+                branch(np.arange(heads[k], ends[k]), marks, group, loose, int(keys[heads[k]] & 0x7FFFFFFF), 1, out)
             if out:
                 pairs, ids = np.array(out), table.column(1).combine_chunks()
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(pairs[:, 0])), ids.take(pa.array(pairs[:, 1]))], ["a", "b"])
@@ -170,9 +169,9 @@ def loose_links(sketches: DataFrame, trees: int, loose: float, near: float, most
     while True:
         hot = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node"))
         if hot.isEmpty():
-            found.append(node_links(rows, loose, near))
+            found.append(node_links(rows, loose))
             break
-        found.append(node_links(rows.join(hot, "node", "left_anti"), loose, near))
+        found.append(node_links(rows.join(hot, "node", "left_anti"), loose))
         crowd = rows.join(hot, "node")
         leaders = (crowd.groupBy("node", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(8)).alias("part"))
                    .agg(F.min(F.struct("id", "sketch")).alias("l")).groupBy("node").agg(F.collect_list("l").alias("leaders")))
@@ -215,18 +214,18 @@ def _compare(rows: DataFrame, loose: float, near: float) -> DataFrame:
 def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all components of the sets under 100 * intersection >= percent * union.
 
-    A pivot is compared with every set, and the sets that it links need not be pivots. Two sets linked by
-    different pivots can only be similar if the pivots are at most three thresholds apart; pairs of such stars
-    that are not connected yet are compared in full. So every component is found, not every pair.
+    A pivot is compared with every set that may be similar: one of its rarest tokens must be shared, or too few are.
+    The sets that it links need not be pivots. Two sets linked by different pivots can only be similar if the
+    pivots are at most three thresholds apart; such pairs of stars that are not connected yet are compared in full.
+    So every component is found, not every pair.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    own = np.split(token, ends[:-1])
+    own = np.split(token, np.cumsum(sizes)[:-1])
     order = np.argsort(token, kind="stable")
     holder = np.repeat(np.arange(n), sizes)[order]
-    at = np.searchsorted(token[order], np.arange(int(token.max()) + 2 if len(token) else 1))
+    at = np.searchsorted(token[order], np.arange((int(token.max()) + 1 if len(token) else 0) + 1))
     common = np.diff(at)
     root = list(range(n))
     out: list[tuple[int, int]] = []
@@ -243,37 +242,44 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             root[max(rx, ry)] = min(rx, ry)
             out.append((x, y))
 
-    def shared(x):
-        inter = np.zeros(n, np.int64)
-        for t in own[x].tolist():
-            inter[holder[at[t]:at[t + 1]]] += 1
-        return inter, sizes + sizes[x] - inter
+    def similar(x, least):
+        """The sets, x included, with 100 * intersection >= least * union."""
+        held = own[x][np.argsort(common[own[x]], kind="stable")]
+        # a similar set shares ceil(least / 100 * size) tokens, so one of the others and one more
+        probe = held[:len(held) - (least * len(held) + 99) // 100 + 1]
+        if common[probe].sum() <= 64:
+            found = np.unique(np.concatenate([holder[at[t]:at[t + 1]] for t in probe]))
+            inter = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in found])
+        else:
+            inter = np.zeros(n, np.int64)
+            for t in held.tolist():
+                inter[holder[at[t]:at[t + 1]]] += 1
+            found = np.flatnonzero(inter)
+            inter = inter[found]
+        return found[100 * inter >= least * (sizes[found] + sizes[x] - inter)]
 
     central = np.array([common[t].mean() if len(t) else 0 for t in own])
-    covered, star, pivots, close = np.zeros(n, bool), {}, [], []
+    covered, star = np.zeros(n, bool), {}
     for p in np.lexsort((np.arange(n), -central)).tolist():
-        if covered[p]:
+        if covered[p] or not sizes[p]:
             continue
-        inter, union = shared(p)
-        linked = np.flatnonzero(100 * inter >= percent * union)
+        linked = similar(p, percent)
         fresh = linked[~covered[linked]]
         covered[linked] = True
-        star[p] = fresh
+        if len(fresh) > 1:
+            star[p] = fresh  # a pivot alone has met all its partners
         for x in linked.tolist():
             join(p, x)
-        apart = 100 * inter >= (100 - 3 * (100 - percent)) * union
-        close.extend((q, p) for q in pivots if apart[q])
-        pivots.append(p)
-    for p, q in close:
-        if find(p) == find(q):
-            continue
-        few, many = sorted((p, q), key=lambda x: len(star[x]))
-        for x in star[few].tolist():
-            inter, union = shared(x)
-            for y in star[many][100 * inter[star[many]] >= percent * union[star[many]]].tolist():
-                join(x, y)
-            if find(p) == find(q):
-                break
+    for p in star:
+        for q in similar(p, max(1, 100 - 3 * (100 - percent))).tolist():
+            if q >= p or q not in star or find(p) == find(q):
+                continue
+            few, many = sorted((p, q), key=lambda x: len(star[x]))
+            for x in star[few].tolist():
+                for y in np.intersect1d(similar(x, percent), star[many]).tolist():
+                    join(x, y)
+                if find(p) == find(q):
+                    break
     return out
 
 
@@ -382,7 +388,10 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialize(sets.groupBy("one", "two").agg(F.min(F.struct("id", "nodes", "sketch")).alias("r"))
                           .select("one", "two", "r.id", "r.nodes", "r.sketch"))
     groups = materialize(connected_components(loose_links(classes.select("id", "nodes", "sketch"), trees, loose, near, most_rows)))
-    members = groups.select(F.xxhash64("component").alias("group"), "id").join(texts.where("id is not null"), "id").select("group", "id", "text")
+    bits = filter_bits(groups.count())
+    held = materialize(held_bits(groups, "id", bits))
+    maybe = possibly_held(texts.where("id is not null"), "id", held, bits, "_maybe").where("_maybe")
+    members = maybe.select("id", "text").join(groups.select("id", F.xxhash64("component").alias("group")).hint("shuffle_hash"), "id").select("group", "id", "text")
     links = confirmed_links(members, words, percent, most_bytes)
     found = materialize(connected_components(links))
     copies = sets.select("id", "one", "two").join(classes.select("one", "two", F.col("id").alias("rep")), ["one", "two"]).where("id != rep")

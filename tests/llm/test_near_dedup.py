@@ -57,8 +57,8 @@ def corpus(seed, n=160):
 
 @pytest.mark.parametrize("seed,n,percent,small", [(1, 3, 85, False), (2, 5, 80, False), (3, 3, 85, True)])
 def test_against_brute_force(spark, seed, n, percent, small):
-    rows = corpus(seed)
-    more = {"most_rows": 20, "most_bytes": 4000} if small else {}
+    rows = corpus(seed, 100 if small else 160)
+    more = {"most_rows": 40, "most_bytes": 12000} if small else {}
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, component_id string")
     got = {tuple(r) for r in near_components(df, words=n, percent=percent, **more).collect()}
     assert got == brute(rows, n, percent)
