@@ -8,6 +8,7 @@ from framecv.catalog.base import (CTES, FEATURES, KEY, ORDER, ORDER_SQL, SEED, b
                                   rounded, scaled_cte, sql, table, tail_cte)
 from framecv.functions.scalars import keep_existing, numeric_features, ordered_columns
 from framecv.operators.frames import block_average, frame_positions, join_labels, tail_blocks, tail_percent
+from framecv.operators.quantiles import value_distribution
 from framecv.operators.split import assign_folds
 from framecv.operators.stats import fit_stats, fold_train_stats, standardize, standardize_by_fold, stats_long
 from framecv.plans.prepare import standardized_blocks
@@ -117,3 +118,47 @@ def feature_columns(spark, sf_dir):
     found = numeric_features(blocks.drop("run"), [KEY, "y", "block"])
     wanted = keep_existing(blocks, [*found, "absent"])
     return rounded(ordered_columns(blocks.select(KEY, *reversed(wanted)), KEY))
+
+
+# ---- entities that are far above what one window may hold ------------------------------------
+
+_FLAGGED = {"flagged": f"""SELECT l_returnflag AS entity, l_orderkey AS run, l_linenumber AS frame, l_suppkey AS replica,
+    CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, l_discount AS discount, sqrt(l_extendedprice) AS price,
+    l_quantity AS quantity, l_tax AS tax, 0.0::DOUBLE AS y FROM lineitem"""}
+_SMALL_WINDOW = 500
+
+
+def _flagged(spark, sf_dir):
+    """Three entities hold all rows."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("entity"), F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("frame"),
+        F.col("l_suppkey").alias("replica"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+        F.col("l_discount").alias("discount"), F.sqrt("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"),
+        F.col("l_tax").alias("tax"))
+
+
+@query(sql(f"SELECT entity, {ORDER_SQL} FROM tail", "", _FLAGGED | tail_cte(37.5, "flagged")))
+def tail_window_hot(spark, sf_dir):
+    return tail_percent(_flagged(spark, sf_dir), KEY, ORDER, 37.5, _SMALL_WINDOW).select("entity", *ORDER)
+
+
+@query(sql(f"""SELECT entity, {ORDER_SQL}, count(*) OVER (PARTITION BY entity) AS group_size,
+    row_number() OVER (PARTITION BY entity ORDER BY {ORDER_SQL}) - 1 AS position FROM flagged""", "", _FLAGGED))
+def group_positions_hot(spark, sf_dir):
+    return frame_positions(_flagged(spark, sf_dir).select("entity", *ORDER), KEY, ORDER, _SMALL_WINDOW)
+
+
+@query(sql("SELECT * EXCLUDE (y) FROM blocks", "", _FLAGGED | blocks_cte(7, 3, "flagged"), ROUND_FEATURES))
+def block_means_hot(spark, sf_dir):
+    return rounded(block_average(_flagged(spark, sf_dir), KEY, ORDER, 7, 3, None, FEATURES, _SMALL_WINDOW))
+
+
+@query(sql("SELECT * EXCLUDE (y) FROM blocks", "", _FLAGGED | tail_cte(90, "flagged") | blocks_cte(28, 5), ROUND_FEATURES))
+def tail_blocks_hot(spark, sf_dir):
+    return rounded(tail_blocks(_flagged(spark, sf_dir), KEY, ORDER, 90, 28, 5, None, FEATURES, max_rows=_SMALL_WINDOW))
+
+
+@query(sql("""SELECT entity, count(price) AS n, min(price) AS low, quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.5) AS q50,
+    quantile_cont(price, 0.75) AS q75, max(price) AS high FROM flagged GROUP BY entity""", "", _FLAGGED, "low q25 q50 q75 high"))
+def quantiles_hot(spark, sf_dir):
+    return rounded(value_distribution(_flagged(spark, sf_dir), "entity", "price", _SMALL_WINDOW))

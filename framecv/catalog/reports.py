@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framecv.catalog.base import KEY, frames, query, rounded, spread, sql, table
+from framecv.catalog.base import KEY, frames, query, rounded, sql, table
 from framecv.sources.energy import (GAS_TERMS, SOLVENT_TERMS, TERM_COLUMNS, TERMS, energy_delta, energy_rollups, energy_summary,
                                     entity_and_run, parse_energy_reports, propagated_sd)
 from framecv.sources.surface import (attach_radius, buried_surface, parse_atom_surface, parse_residue_surface, parse_structure,
@@ -29,7 +29,7 @@ def energy_texts(spark, sf_dir) -> DataFrame:
     for s, title in enumerate(SECTIONS):
         body = F.concat_ws("\n", F.lit(f"{title} Energy Terms"), F.lit(header), *[_lines(s, f) for f in range(1, FRAMES + 1)])
         text = F.concat(text, body, F.lit("\n\n"))
-    rows = spread(frames(spark, sf_dir).select(KEY, "run", "frame", "replica", "cents"), "run")
+    rows = frames(spark, sf_dir).select(KEY, "run", "frame", "replica", "cents")
     entity = F.translate(F.substring(F.md5(F.col(KEY).cast("string")), 1, 32), "0123456789abcdef", "ACGTACGTACGTACGT")
     path = F.concat(F.lit("/data/set_"), entity, F.lit("/"), F.col("frame").cast("string"), F.lit("/results.csv"))
     report = F.concat_ws("-", KEY, "run", "frame", "replica", "cents")
@@ -67,7 +67,7 @@ _DELTA = {"delta": "SELECT report, frame, j, sum(CASE WHEN s = 0 THEN v ELSE -v
 @query(sql(f"SELECT {_TERM} AS term, avg(d) AS average, stddev_pop(d) AS sd, stddev_pop(d) / sqrt(count(*)) AS sem, count(*) AS n FROM delta GROUP BY j",
            "frames", _LONG | _DELTA, "average sd sem", 8))
 def energy_delta_summary(spark, sf_dir):
-    """Complex - Receptor - Ligand per report and frame, then average, spread and standard error."""
+    """Complex - Receptor - Ligand per report and frame, then average and standard error."""
     rows = parse_energy_reports(energy_texts(spark, sf_dir).drop("path"))
     return rounded(energy_summary(energy_delta(rows, ["report", "frame"]), []), 8)
 
@@ -109,7 +109,7 @@ def _hundredths(modulus: int, shift: int = 0) -> Column:
 
 
 def _chain(spark, sf_dir) -> DataFrame:
-    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.col("l_orderkey").alias("report"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
                        F.col("l_returnflag").alias("chain"), F.col("l_linenumber").alias("number"), F.col("l_tax").alias("tax"),
                        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))

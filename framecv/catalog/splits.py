@@ -44,10 +44,10 @@ def train_and_test_rows(spark, sf_dir):
     """Membership by entity: training rows and their complement."""
     rows = frames(spark, sf_dir)
     split = split_entities(rows, KEY, 0.2, SEED)
-    both = train_rows(rows, split, KEY).withColumn("is_test", F.lit(False)).unionByName(
-        test_rows(rows, split, KEY).withColumn("is_test", F.lit(True)))
-    counts = split_summary(both, KEY, ["is_test"])
-    return rounded(counts.join(both.groupBy("is_test").agg(F.sum("quantity").alias("quantity")), "is_test"))
+    sides = [side(rows, split, KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("q")).withColumn("is_test", F.lit(test))
+             for side, test in ((train_rows, False), (test_rows, True))]
+    both = sides[0].unionByName(sides[1]).groupBy("is_test")
+    return rounded(both.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_entities"), F.sum("q").alias("quantity")))
 
 
 def _repeats(n):
@@ -128,3 +128,14 @@ def present_combinations(spark, sf_dir):
     rows = predictions(spark, sf_dir)
     keys = ["scr_frac", "noise_level", "rep", "fold"]
     return _grid(rows).join(rows.where(~F.col("is_test")).select(*keys).distinct(), keys, "inner")
+
+
+@query("""SELECT repeat, count(DISTINCT l_discount) AS n_entities, count(*) AS n_rows, 4::BIGINT AS n_folds, true AS even
+    FROM lineitem CROSS JOIN (SELECT unnest(range(3))::INTEGER AS repeat) GROUP BY repeat""")
+def heavy_group_folds(spark, sf_dir):
+    """Folds of a few large entities: all entities and rows in each repeat, all folds used, none twice the size of another."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("entity"))
+    sizes = split_summary(rows.join(assign_folds(rows, "entity", 4, 3, SEED), "entity"), "entity", ["repeat", "fold"])
+    return sizes.groupBy("repeat").agg(
+        F.sum("n_entities").alias("n_entities"), F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_folds"),
+        (F.max("n_rows") < 2 * F.min("n_rows")).alias("even"))

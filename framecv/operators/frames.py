@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framecv.functions.hashing import HASH_SPAN, hash52
 from framecv.functions.scalars import numeric_features
-from framecv.operators.position import (MAX_ROWS, keyed_join, order_slices, slice_offsets, sliced_position, split_hot,
+from framecv.operators.position import (MAX_ROWS, order_slices, slice_offsets, sliced_position, split_hot,
                                         window_position, with_position)
 
 
 def join_labels(frames: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Inner join, one label row per entity; neither side has to be small."""
-    return keyed_join(frames, labels, key)
+    """Inner join, one label row per entity; neither side has to be small. Spark splits the entities that are skewed."""
+    return frames.join(labels, key)
 
 
 def frame_positions(df: DataFrame, key: str, order: Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
@@ -47,10 +47,11 @@ def _tail_hot(warm: DataFrame, key: str, order: Sequence[str], pct: float, max_r
 
 
 def tail_percent(df: DataFrame, key: str, order: Sequence[str], pct: float, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The last ``pct`` percent of the rows of each entity, one row at least."""
+    """The last ``pct`` percent of the rows of each entity, one row at least; rows without an entity are left out."""
+    df = df.where(F.col(key).isNotNull())
     if pct <= 0 or pct >= 100:
         return df
-    cold, warm, _ = split_hot(df.where(F.col(key).isNotNull()), [key], max_rows)
+    cold, warm, _ = split_hot(df, [key], max_rows)
     tail = _tail_cold(cold, key, order, pct)
     return tail if warm is None else tail.unionByName(_tail_hot(warm, key, order, pct, max_rows).drop("_rows"))
 

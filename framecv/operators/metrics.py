@@ -120,11 +120,14 @@ def mean_metrics_long(df: DataFrame, metrics: Sequence[str], by: Sequence[str] =
 
 
 def confusion(df: DataFrame, labels: Sequence[int], pred: str, truth: str, by: Sequence[str] = ()) -> DataFrame:
-    """Counts on the full label grid, with the percentage of each true class."""
-    cells = df.where(F.col(truth).isin(*labels) & F.col(pred).isin(*labels)).groupBy(
-        *by, F.col(truth).alias("true_class"), F.col(pred).alias("pred_class")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts on the full label grid, with the percentage of each true class. A group whose classes are all off the list
+    has a grid of zeros."""
+    listed = F.coalesce(F.col(truth).isin(*labels) & F.col(pred).isin(*labels), F.lit(False))
+    cells = df.groupBy(*by, F.when(listed, F.col(truth)).alias("true_class"), F.when(listed, F.col(pred)).alias("pred_class")).agg(
+        F.count(F.lit(1)).alias("n"))
     # one map of counts per group: at most len(labels) squared entries
-    row = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "true_class", "pred_class"), "n")))
+    entry = F.when(F.col("true_class").isNotNull(), F.struct(F.concat_ws("|", "true_class", "pred_class"), "n"))
+    row = F.map_from_entries(F.collect_list(entry))
     grid = cells.groupBy(*by).agg(row.alias("_cells"))
     grid = grid.withColumn("true_class", F.explode(F.array(*[F.lit(v) for v in labels])))
     grid = grid.withColumn("pred_class", F.explode(F.array(*[F.lit(v) for v in labels])))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from framecv.functions.hashing import gaussian, hash52
 from framecv.functions.scalars import truncated_count
-from framecv.operators.position import keyed_join
 from framecv.operators.split import entity_table, hash_rank
+from framecv.session import materialize
 
 
 def scrambled_labels(df: DataFrame, key: str, label: str, fraction: float, seed: int, min_count: int = 0) -> DataFrame:
@@ -17,7 +17,7 @@ def scrambled_labels(df: DataFrame, key: str, label: str, fraction: float, seed:
 
     The donor of rank r is rank (r + 1 + draw mod (n - 1)) mod n, hence never the entity itself.
     """
-    ranked = hash_rank(entity_table(df, key, label).drop("n_rows"), key, hash52(F.col(key), seed, "scramble"))
+    ranked = materialize(hash_rank(entity_table(df, key, label).drop("n_rows"), key, hash52(F.col(key), seed, "scramble")))
     n, rank = F.col("n"), F.col("rank")
     chosen = (rank < F.greatest(truncated_count(n, fraction), F.lit(min_count).cast("bigint"))) & (n > 1)
     step = F.pmod(hash52(F.col(key), seed, "donor"), F.greatest(n - 1, F.lit(1)))
@@ -31,7 +31,7 @@ def scramble_labels(df: DataFrame, key: str, label: str, fraction: float, seed:
     if fraction <= 0 and min_count == 0:
         return df
     labels = scrambled_labels(df, key, label, fraction, seed, min_count).select(key, label)
-    return keyed_join(df.drop(label), labels, key).select(*df.columns)
+    return df.drop(label).join(labels, key).select(*df.columns)
 
 
 def add_gaussian_noise(df: DataFrame, label: str, level: float, seed: int, row_id: Sequence[str]) -> DataFrame:
@@ -45,13 +45,14 @@ def add_gaussian_noise(df: DataFrame, label: str, level: float, seed: int, row_i
 
 def flipped_labels(df: DataFrame, key: str, label: str, level: float, seed: int, task: str) -> DataFrame:
     """One row per entity: its label after ``max(1, int(n * level))`` entities changed class."""
-    ranked = hash_rank(entity_table(df, key, label).drop("n_rows"), key, hash52(F.col(key), seed, "flip"))
+    ranked = materialize(hash_rank(entity_table(df, key, label).drop("n_rows"), key, hash52(F.col(key), seed, "flip")))
     hit = F.col("rank") < F.greatest(truncated_count(F.col("n"), level), F.lit(1).cast("bigint"))
     old = F.col(label)
     if task == "bin":
         new = F.lit(1) - old
     else:
-        classes = df.agg(F.array_sort(F.collect_set(label))).scalar()
+        # classes of all entities; one that only later rows of an entity have is no choice
+        classes = ranked.agg(F.array_sort(F.collect_set(label))).scalar()
         others = F.filter(F.col("_classes"), lambda c: c != old)
         pick = F.pmod(hash52(F.col(key), seed, "class"), F.greatest(F.size(others), F.lit(1))).cast("int")
         ranked = ranked.withColumn("_classes", classes)
@@ -62,9 +63,13 @@ def flipped_labels(df: DataFrame, key: str, label: str, level: float, seed: int,
 
 def add_label_noise(df: DataFrame, key: str, label: str, level: float, seed: int, task: str = "reg",
                     row_id: Sequence[str] = ()) -> DataFrame:
+    """Label noise of a task. ``row_id`` names the columns that tell rows apart; regression needs it, as each row has a draw
+    of its own."""
     if level <= 0:
         return df
     if task == "reg":
-        return add_gaussian_noise(df, label, level, seed, list(row_id) or [key])
+        if not row_id:
+            raise ValueError("row_id is needed: the noise is drawn row by row")
+        return add_gaussian_noise(df, label, level, seed, list(row_id))
     labels = flipped_labels(df, key, label, level, seed, task).select(key, label)
-    return keyed_join(df.drop(label), labels, key).select(*df.columns)
+    return df.drop(label).join(labels, key).select(*df.columns)

@@ -109,17 +109,3 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
         return out
     sliced = order_slices(warm, keys, order, max_rows).drop("_rows")
     return out.unionByName(sliced_position(sliced, keys, order, weight))
-
-
-def keyed_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Join rows with an entity table of any size on the entity.
-
-    A shuffled join brings all rows of an entity to one task, so hot entities go another way: the
-    lookup rows of those few entities are broadcast, and their frames stay where they are.
-    ``rows`` are read twice: pass a scan or a materialized table.
-    """
-    cold, warm, hot = split_hot(rows, [key], max_rows)
-    if warm is None:
-        return rows.join(lookup, key, how)
-    few = lookup.join(F.broadcast(hot.select(key)), key, "left_semi")
-    return cold.join(lookup, key, how).unionByName(warm.drop("_rows").join(F.broadcast(few), key, how))

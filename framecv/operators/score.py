@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framecv.functions.scalars import linspace_point
-from framecv.operators.position import keyed_join
+from framecv.session import materialize
 
 
 def standard_score_sum(frames: DataFrame, terms: Sequence[str], name: str = "sum_z") -> DataFrame:
@@ -31,16 +31,16 @@ def reference_state_score(frames: DataFrame, labels: DataFrame, key: str, value:
                           train: DataFrame | None = None, sign_flip: bool = True) -> DataFrame:
     """Model-free entity prediction: summed z-scores relative to the reference entity.
 
-    One aggregation of the frames per entity; the reference is a row of that result.
+    The frames are aggregated once per entity and written; the reference is a row of that table.
     """
     known = labels.select(key, value).distinct()
     if train is not None:
         ids = train.select(key).distinct()
-        frames, known = keyed_join(frames, ids, key, "left_semi"), known.join(ids, key, "left_semi")
+        frames, known = frames.join(ids, key, "left_semi"), known.join(ids, key, "left_semi")
     scored = standard_score_sum(frames.select(key, *[F.col(f"`{c}`") for c in terms]), terms)
-    entities = scored.groupBy(key).agg(F.avg("sum_z").alias("_mean"),
-                                       F.coalesce(F.stddev_pop("sum_z"), F.lit(0.0)).alias("yerr"))
-    origin = scored.where(F.col(key) == reference_entity(known, key, value)).agg(F.avg("sum_z")).scalar()
+    entities = materialize(scored.groupBy(key).agg(F.avg("sum_z").alias("_mean"),
+                                                   F.coalesce(F.stddev_pop("sum_z"), F.lit(0.0)).alias("yerr")))
+    origin = entities.where(F.col(key) == reference_entity(known, key, value)).agg(F.max("_mean")).scalar()
     delta = entities.withColumn("_delta", F.col("_mean") - origin)
     y_pred = -F.col("_delta") if sign_flip else F.col("_delta")
     return delta.join(known, key, "inner").select(
@@ -51,8 +51,9 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, steps: int = 1000) ->
     """Accuracy of ``score > threshold`` at evenly spaced thresholds.
 
     Each row is counted once, under the number of thresholds below its score; the curve is a
-    running sum over those ``steps + 1`` counters.
+    running sum over those ``steps + 1`` counters. Rows without a score or a truth do not count.
     """
+    df = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
     bounds = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).select(F.struct("*")).scalar()
     s, lo, hi = F.col(score).cast("double"), F.col("_b.lo").cast("double"), F.col("_b.hi").cast("double")
     width = (hi - lo) / F.lit(float(max(steps - 1, 1)))
@@ -63,7 +64,7 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, steps: int = 1000) ->
         i = F.col("_g") + d
         inside = (i >= 0) & (i < steps) & (linspace_point(i, lo, hi, steps) < s)
         below = below + F.when(inside, 1).otherwise(0)
-    placed = df.where(F.col(score).isNotNull()).withColumn("_b", bounds).withColumn("_g", guess).withColumn("_below", below)
+    placed = df.withColumn("_b", bounds).withColumn("_g", guess).withColumn("_below", below)
     counters = placed.groupBy("_below").agg(F.sum(truth).alias("_pos"), F.count(F.lit(1)).alias("_all"))
     grid = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("_below"))
     full = grid.join(counters, "_below", "left").na.fill(0, ["_pos", "_all"])

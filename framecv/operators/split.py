@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from framecv.functions.hashing import HASH_SPAN, hash52
 from framecv.functions.scalars import truncated_count
-from framecv.operators.position import keyed_join
 from framecv.session import materialize
 
-HASH_RANGES = 1024
+# Entities that one window of a rank is meant to hold.
+RANGE_ENTITIES = 50_000
 
 
 def entity_table(df: DataFrame, key: str, label: str | None = None) -> DataFrame:
@@ -36,12 +36,15 @@ def _match(df: DataFrame, nullable: Sequence[str], always: Sequence[str] = ()) -
     return cond
 
 
-def hash_rank(entities: DataFrame, key: str, draw: Column, by: Sequence[str] = (), ranges: int = HASH_RANGES,
+def hash_rank(entities: DataFrame, key: str, draw: Column, by: Sequence[str] = (), ranges: int | None = None,
               weight: str | None = None) -> DataFrame:
     """Adds ``rank`` (zero-based, by ``draw`` then key) and ``n``, inside each ``by`` group.
 
-    With a weight they are the weight of the earlier entities and that of all.
+    With a weight they are the weight of the earlier entities and that of all. The entities are written
+    once, as the rank reads them twice; the number of ranges follows from their count.
     """
+    entities = materialize(entities)
+    ranges = ranges or 8 + entities.count() // RANGE_ENTITIES
     width = HASH_SPAN // ranges
     unit = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     drawn = entities.withColumn("_draw", draw).withColumn("_range", F.expr(f"_draw div {width}"))
@@ -60,6 +63,7 @@ def hash_rank(entities: DataFrame, key: str, draw: Column, by: Sequence[str] = (
 
 def stratum_rank(entities: DataFrame, key: str, draw: Column, stratum: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank by (stratum, draw) inside each ``by`` group: strata in order, seeded shuffle inside a stratum."""
+    entities = materialize(entities)
     sizes = entities.groupBy(*by, stratum).agg(F.count(F.lit(1)).alias("_size"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     lower = F.sum("_size").over(group.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1))
@@ -93,19 +97,20 @@ def split_entities(df: DataFrame, key: str, test_fraction: float, seed: int, str
 
 
 def train_rows(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
-    return keyed_join(df, split.where(~F.col("is_test")).select(key), key, "left_semi")
+    return df.join(split.where(~F.col("is_test")).select(key), key, "left_semi")
 
 
 def test_rows(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
     """Complement of the training entities."""
-    return keyed_join(df, split.where(~F.col("is_test")).select(key), key, "left_anti")
+    return df.join(split.where(~F.col("is_test")).select(key), key, "left_anti")
 
 
-def _deal_heavy(sizes: Sequence[int], k: int) -> tuple[list[int], list[int]]:
-    """Each size, largest first, to the fold with the fewest rows so far; folds and final loads."""
+def _deal_heavy(sizes: Sequence[int], k: int, first: int) -> tuple[list[int], list[int]]:
+    """Each size in the given order to the fold with the fewest rows so far (on ties the next one from ``first`` on);
+    folds and final loads."""
     loads, folds = [0] * k, []
     for size in sizes:
-        fold = loads.index(min(loads))
+        fold = min(range(k), key=lambda f: (loads[f], (f - first) % k))
         loads[fold] += size
         folds.append(fold)
     return folds, loads
@@ -120,8 +125,9 @@ def _fill_bounds(loads: Sequence[int], rest: int) -> list[float]:
 
 
 def _balanced_folds(df: DataFrame, key: str, k: int, repeats: int, seed: int) -> DataFrame:
-    """Entities with more than 1/20 of a fold (fewer than 20 k of them) are dealt one by one, the largest
-    first. All others are laid end to end in seeded order and cut where the folds are full."""
+    """Entities with more than 1/20 of a fold (fewer than 20 k of them) are dealt one by one: larger powers of two first,
+    sizes within one power in an order drawn for the repeat, so that repeats differ. All others are laid end to end in
+    seeded order and cut where the folds are full."""
     entities = materialize(entity_table(df, key))
     total = entities.agg(F.sum("n_rows")).first()[0] or 0
     limit = total / (20 * k)
@@ -130,8 +136,8 @@ def _balanced_folds(df: DataFrame, key: str, k: int, repeats: int, seed: int) ->
     heavy = repeated.where(F.col("n_rows") > limit).withColumn("_draw", draw).collect()
     dealt, loads = [], [0] * k
     for repeat in range(repeats):
-        own = sorted((r for r in heavy if r["repeat"] == repeat), key=lambda r: (-r["n_rows"], r["_draw"]))
-        folds, loads = _deal_heavy([r["n_rows"] for r in own], k)
+        own = sorted((r for r in heavy if r["repeat"] == repeat), key=lambda r: (-r["n_rows"].bit_length(), r["_draw"]))
+        folds, loads = _deal_heavy([r["n_rows"] for r in own], k, (own[0]["_draw"] if own else 0) % k)
         dealt += [(r[key], repeat, fold) for r, fold in zip(own, folds)]
     bounds = _fill_bounds(loads, total - sum(loads))
     light = hash_rank(repeated.where(F.col("n_rows") <= limit), key, draw, ["repeat"], weight="n_rows")
@@ -165,7 +171,7 @@ def subsample_entities(df: DataFrame, key: str, fraction: float, seed: int, min_
         return df
     ranked = hash_rank(entity_table(df, key), key, hash52(F.col(key), seed, "subsample"))
     keep = F.greatest(truncated_count(F.col("n"), fraction), F.lit(min_entities).cast("bigint"))
-    return keyed_join(df, ranked.where(F.col("rank") < keep).select(key), key, "left_semi")
+    return df.join(ranked.where(F.col("rank") < keep).select(key), key, "left_semi")
 
 
 def sweep_levels(levels: Sequence[float], descending: bool = False) -> list[float]:
@@ -182,7 +188,7 @@ def subsample_sweep(df: DataFrame, key: str, fractions: Sequence[float], seed: i
         for f in levels
     ]
     chosen = ranked.select(key, F.array_compact(F.array(*kept)).alias("_levels"))
-    return keyed_join(df, chosen, key).withColumn("sub_frac", F.explode("_levels")).drop("_levels")
+    return df.join(chosen, key).withColumn("sub_frac", F.explode("_levels")).drop("_levels")
 
 
 def experiment_grid(df: DataFrame, axes: dict[str, Sequence | Column]) -> DataFrame:

@@ -11,14 +11,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framecv.operators.metrics import class_metrics, entity_predictions, regression_metrics, score_vote
-from framecv.operators.position import keyed_join
 
 Models = dict[tuple[int, int], PipelineModel]
 
 
 def with_folds(matrix: DataFrame, assignment: DataFrame, key: str) -> DataFrame:
     """Every row once per repeat, with the fold in which it is validated."""
-    return keyed_join(matrix, assignment, key)
+    return matrix.join(assignment, key)
 
 
 def present_folds(folded: DataFrame) -> list[tuple[int, int]]:
@@ -91,7 +90,7 @@ def fold_metrics(predictions: DataFrame, key: str, task: str, by: Sequence[str]
 def with_clean_truth(predictions: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """Score against undisturbed labels: by default the truth is what the models were trained on."""
     clean = labels.select(key, F.col(label).cast("double").alias("true"))
-    return keyed_join(predictions.drop("true"), clean, key).select(*predictions.columns)
+    return predictions.drop("true").join(clean, key).select(*predictions.columns)
 
 
 def pooled_entities(predictions: DataFrame, key: str, task: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from framecv.functions.scalars import numeric_features
 from framecv.operators.perturb import add_label_noise, scramble_labels
-from framecv.operators.position import keyed_join
 from framecv.operators.split import assign_folds, split_entities, subsample_entities, sweep_levels
 from framecv.operators.stats import fit_stats, standardize
 from framecv.plans.crossval import fit_folds, score_folds, score_holdout, with_folds
@@ -41,7 +40,7 @@ def run_levels(blocks: DataFrame, key: str, label: str, task: str, estimator, le
     """
     features = features or numeric_features(blocks, [key, label, "block"])
     stratify = None if task == "reg" else label
-    sided = materialize(keyed_join(blocks, split_entities(blocks, key, test_fraction, seed, stratify), key), ["is_test"])
+    sided = materialize(blocks.join(split_entities(blocks, key, test_fraction, seed, stratify), key), ["is_test"])
     test = sided.where(F.col("is_test")).drop("is_test")
     out = None
     for level in sweep_levels(levels):

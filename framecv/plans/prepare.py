@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from framecv.functions.hashing import hash52
 from framecv.operators.frames import draw_slices, tail_blocks
 from framecv.operators.perturb import scramble_labels
-from framecv.operators.position import MAX_ROWS, keyed_join, order_slices, sliced_position, split_hot, window_position
+from framecv.operators.position import MAX_ROWS, order_slices, sliced_position, split_hot, window_position
 from framecv.operators.split import split_entities
 from framecv.operators.stats import fit_stats, standardize
 from framecv.session import materialize
@@ -45,7 +45,7 @@ def prepare_experiment(frames: DataFrame, labels: DataFrame, key: str, label: st
     """
     blocks = materialize(tail_blocks(frames, key, order, pct, n, seed, label, features, labels, max_rows))
     split = split_entities(blocks, key, test_fraction, seed, label if stratify else None)
-    sided = materialize(keyed_join(blocks, split, key))
+    sided = materialize(blocks.join(split, key))
     train = sided.where(~F.col("is_test")).drop("is_test")
     train = scramble_labels(train, key, label, scramble, seed)
     stats = fit_stats(train, features)

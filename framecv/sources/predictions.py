@@ -24,9 +24,18 @@ AVERAGED_FILES = "predictions_reg_final_avg_*.csv"
 
 
 def name_columns(path: Column) -> dict[str, Column]:
-    """Metadata columns parsed from a path; NULL where the name does not say."""
+    """Metadata columns parsed from a path; NULL where the name does not say. The name is matched once for all of them."""
+    return fields_of(matched(path))
+
+
+def matched(path: Column) -> Column:
+    """The eight groups of the name, empty strings for those that are absent; for a path without such a name the path alone."""
+    return F.split(F.regexp_replace(path, f"^.*{NAME}.*$", "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|", 8)
+
+
+def fields_of(groups: Column) -> dict[str, Column]:
     def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(path, NAME, i), F.lit(""))
+        return F.when(F.size(groups) == 8, F.nullif(F.get(groups, F.lit(i - 1)), F.lit("")))
 
     return {
         "model_type": part(2),
@@ -56,9 +65,8 @@ def read_predictions(spark: SparkSession, path: str, glob: str = "predictions_*"
     the level becomes ``noise_level`` (a fraction) or ``sub_pct`` (percent).
     """
     raw = _scan(spark, path, glob, schema, recursive).withColumn("_path", F.col("_metadata.file_path"))
-    kind = F.regexp_extract("_path", NAME, 5)
-    rows = raw.where(F.regexp_like("_path", F.lit(NAME))).where(kind == (sweep or ""))
-    rows = rows.withColumns(name_columns(F.col("_path"))).drop("_path")
+    rows = raw.withColumn("_name", matched(F.col("_path"))).where(F.size("_name") == 8).where(F.get("_name", F.lit(4)) == (sweep or ""))
+    rows = rows.withColumns(fields_of(F.col("_name"))).drop("_path", "_name")
     # a row is either of the test set or of one repeat and fold, or averaged over all of them
     rows = rows.where(F.col("is_test") | F.col("final_avg") | F.col("rep").isNotNull())
     if sweep == "noi":

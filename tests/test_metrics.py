@@ -209,3 +209,15 @@ def test_reference_state_score(spark):
         assert got[e]["y_pred"] == pytest.approx(-(v.mean() - by["e1"].mean()))
         assert got[e]["yerr"] == pytest.approx(v.std())
         assert got[e]["y_true"] == y[e]
+
+
+def test_confusion_keeps_a_group_without_listed_classes(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 0, 7), ("b", 7, 8), ("b", None, 1)], "g string, t int, p int")
+    got = {(r["g"], r["true_class"], r["pred_class"]): r["n"] for r in confusion(df, [0, 1], "p", "t", ["g"]).collect()}
+    assert len(got) == 8 and got["a", 1, 1] == 1 and sum(got.values()) == 1
+
+
+def test_threshold_sweep_leaves_out_unknown_truth(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.9, 1), (0.2, None), (0.8, None), (None, 1)], "s double, t int")
+    curve = threshold_sweep(df, "s", "t", 5).collect()
+    assert max(r["accuracy"] for r in curve) == 1.0

@@ -170,3 +170,10 @@ def test_noise_and_subsample_studies(study):
     small = run_levels(blocks, "sequence", "improving", "bin", estimator, [1.0, 0.5], subsampling("sequence", 1, 3), "sub_frac", k=3, seed=3)
     counts = {(r["sub_frac"], r["is_test"]): r["n"] for r in small.groupBy("sub_frac", "is_test").agg(F.count_distinct("sequence").alias("n")).collect()}
     assert counts[0.5, False] == counts[1.0, False] // 2 and counts[0.5, True] == counts[1.0, True]
+
+
+@pytest.mark.parametrize("kind,task,params", [("rf", "reg", {"max_depth": 60}), ("rf", "bin", {"min_samples_split": 4}), ("linear", "reg", {"lrn_rate": 0.1}),
+                                              ("svm", "bin", {"gamma": 1.0})])
+def test_parameters_without_a_counterpart_are_refused(kind, task, params):
+    with pytest.raises(ValueError):
+        build_estimator(kind, task, ["x"], "y", params)

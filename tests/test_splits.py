@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from framecv.functions.hashing import gaussian, hash52, uniform
 from framecv.operators.metrics import split_summary
+from framecv.session import scratch_path
 from framecv.operators.perturb import add_label_noise, flipped_labels, scramble_labels, scrambled_labels
 from framecv.operators.split import (_deal_heavy, _fill_bounds, assign_folds, entity_table, experiment_grid, hash_rank, seeded_order, split_entities,
                                      subsample_entities, subsample_sweep, sweep_levels, test_rows as held_out_rows, train_rows)
@@ -94,7 +95,8 @@ def test_fill_bounds():
     assert _fill_bounds([0, 0], 10) == [5.0]
     assert _fill_bounds([100, 0, 10], 30) == [0.0, 20.0]
     assert _fill_bounds([3, 3, 3], 0) == [0.0, 0.0]
-    assert _deal_heavy([5, 4, 3, 3], 2) == ([0, 1, 1, 0], [8, 7])
+    assert _deal_heavy([5, 4, 3, 3], 2, 0) == ([0, 1, 1, 0], [8, 7])
+    assert _deal_heavy([5, 4, 3, 3], 2, 1) == ([1, 0, 0, 1], [7, 8])
 
 
 def test_subsample(rows):
@@ -157,3 +159,38 @@ def test_flips(rows):
     assert all((r["cls"] != old[r["entity"]]) == r["flipped"] and r["cls"] in (0, 1, 2) for r in many)
     noisy = add_label_noise(rows, "entity", "cls", 0.5, 1, "mclass")
     assert noisy.count() == rows.count() and noisy.columns == rows.columns
+
+
+def test_heavy_entities_are_dealt_anew_in_each_repeat(spark):
+    rows = spark.createDataFrame([(f"e{i:02d}", j) for i in range(30) for j in range(20 + i)], "entity string, row int")
+    folds = assign_folds(rows, "entity", 3, 4, 42).collect()
+    by_repeat = [{r["entity"]: r["fold"] for r in folds if r["repeat"] == k} for k in range(4)]
+    assert all(len(f) == 30 and set(f.values()) == {0, 1, 2} for f in by_repeat)
+    for a in range(4):
+        for b in range(a):
+            pairs = {(x, y) for x in by_repeat[a] for y in by_repeat[a] if x < y and by_repeat[a][x] == by_repeat[a][y]}
+            other = {(x, y) for x in by_repeat[b] for y in by_repeat[b] if x < y and by_repeat[b][x] == by_repeat[b][y]}
+            assert pairs != other
+    for f in by_repeat:
+        loads = [sum(20 + int(e[1:]) for e, g in f.items() if g == k) for k in range(3)]
+        assert max(loads) < 1.2 * min(loads)
+
+
+def test_regression_noise_needs_row_ids(spark):
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 3.0)], "entity string, row int, y double")
+    with pytest.raises(ValueError):
+        add_label_noise(rows, "entity", "y", 0.3, 1)
+    moved = {r["row"]: r["y"] - (r["row"] + 1) for r in add_label_noise(rows, "entity", "y", 0.3, 1, row_id=["row"]).collect()}
+    assert len({round(v, 9) for v in moved.values()}) == 3
+
+
+def test_label_operators_read_the_frames_once(spark):
+    rows = spark.range(2000).selectExpr("concat('e', id % 50) entity", "id row", "cast(id % 3 as double) y")
+    rows.write.mode("overwrite").parquet(path := scratch_path(spark, "frames"))
+    rows = spark.read.parquet(path)
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count(path.rsplit("/", 1)[-1])
+    assert scans(scramble_labels(rows, "entity", "y", 0.5, 1)) <= 2
+    assert scans(subsample_entities(rows, "entity", 0.5, 1)) <= 2
+    assert scans(split_entities(rows, "entity", 0.2, 1)) <= 1
