@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from framecv.llm.chat import format_chats, read_chats
-from framecv.llm.common import table
+from framecv.llm.common import ship_package, table
 from framecv.llm.exact_dedup import exact_dedup, text_key
 from framecv.llm.language import held_out, identify, train_languages
 from framecv.llm.mixing import mix_sources, tempered_weights
@@ -29,10 +31,15 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql
-        return fn
+        return run
     return add
 
 
