@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framecv.llm.common import quoted
+from framecv.llm.common import bounded_sample, quoted
 from framecv.session import materialize
 
 
@@ -130,7 +130,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     asked = vectors(queries).where(F.size("v") == length.n).distinct()
     spots = rows.withColumn("at", F.expr("dense_rank() over (partition by v order by id)")).where(F.col("at") <= k + 1)
     points = materialize(spots.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("point"), "ids", "v"))
-    picked = points.orderBy(F.xxhash64("point"), "point").limit(sample_rows).select("v").toArrow().column("v").combine_chunks()
+    picked = bounded_sample(points, "point", sample_rows).select("v").toArrow().column("v").combine_chunks()
     forest = spark.sparkContext.broadcast(grow_forest(_matrix(picked), trees, leaf))  # sample_rows * trees / leaf planes
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
                 a, b = np.nonzero(near >= (low - 1e-9 * (1 + np.abs(low)))[:, None])
                 out.append(pd.DataFrame({"query_id": right["query_id"].iloc[i:i + 512].to_numpy()[a], "ids": left["ids"].to_numpy()[b],
                                          "point": left["point"].to_numpy()[b], "score": (q[a] * m[b]).sum(axis=1)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "ids": [], "point": [], "score": []})
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "ids": [], "point": [], "score": []}, dtype=object)
 
     ranked = cells.groupBy("tree", "leaf", "cell").cogroup(visits_in.groupBy("tree", "leaf", "cell")).applyInPandas(
         rank, f"query_id {kind}, ids array<{kind}>, point {kind}, score double")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from framecv.llm.common import quoted, without
+from framecv.llm.common import bounded_sample, quoted, without
 
 #: The base patterns by kind, in the order in which kinds are listed.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -228,7 +228,7 @@ def train_private(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """Fit the field on the regions of the sample_rows texts with a digit or an at sign that have the smallest hash of their
     id; the base patterns label them. The bound is a parameter; only the sample reaches the driver."""
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("text").toLocalIterator()
+    picked = bounded_sample(rows, "id", sample_rows).select("text").toLocalIterator()
     return train_field([x for row in picked for x in labelled_regions(row.text)])
 
 
