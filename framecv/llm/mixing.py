@@ -124,7 +124,17 @@ def mix_sources(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_c
                          F.coalesce(slot < length, F.lit(False)).alias("in_mix"))
 
 
-def keep_mix(docs: DataFrame, power: float = 0.7, id_col: str = "doc_id", source_col: str = "source", **more) -> DataFrame:
-    """The rows of docs that are in the mix under tempered weights, with the columns of docs."""
-    return mix_sources(docs, tempered_weights(docs, source_col, power), id_col, source_col, **more).where("in_mix").select(
+def keep_mix(docs: DataFrame, power: float = 0.7, id_col: str = "doc_id", source_col: str = "source", seed: int = 7, **more) -> DataFrame:
+    """The rows of docs that are in the mix under tempered weights, with the columns of docs.
+
+    A source's rows in the mix are its first ones in the order of the hash, so only ids and sources are numbered; the last
+    row of each source (one row per source is broadcast) then decides row by row, and texts are not shuffled.
+    Rows that repeat an id stay or go together.
+    """
+    placed = mix_sources(docs.select(quoted(id_col), quoted(source_col)), tempered_weights(docs, source_col, power), id_col, source_col,
+                         seed=seed, **more)
+    key = F.xxhash64(quoted(id_col), F.lit(seed))
+    spot = F.struct(F.shiftrightunsigned(key, 33).alias("high"), key.alias("key"), quoted(id_col).alias("id"))
+    last = materialize(placed.where("in_mix").groupBy(quoted(source_col).alias("_source")).agg(F.max(spot).alias("_last")))
+    return docs.join(F.broadcast(last), quoted(source_col).eqNullSafe(F.col("_source"))).where(spot <= F.col("_last")).select(
         *[quoted(c) for c in docs.columns])

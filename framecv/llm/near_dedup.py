@@ -171,6 +171,8 @@ def loose_links(sketches: DataFrame, trees: int, loose: float, near: float, most
         if hot.isEmpty():
             found.append(node_links(rows, loose))
             break
+        if not level:
+            rows = materialize(rows)  # it is read twice more
         found.append(node_links(rows.join(hot, "node", "left_anti"), loose))
         crowd = rows.join(hot, "node")
         leaders = (crowd.groupBy("node", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(8)).alias("part"))

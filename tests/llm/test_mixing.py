@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 from fractions import Fraction
 
-from framecv.llm.mixing import horizon, keep_mix, mix_sources, pfair_period, whole_shares
+from framecv.llm.mixing import horizon, keep_mix, mix_sources, pfair_period, tempered_weights, whole_shares
 
 
 def test_period_is_pfair():
@@ -64,3 +64,12 @@ def test_edges(spark):
     assert {(r.source, r.slot is None) for r in mix_sources(docs, {"a": 1}).collect()} == {("a", False), ("b", True)}
     assert keep_mix(docs.limit(0)).count() == 0
     assert keep_mix(docs).columns == docs.columns
+
+
+def test_kept_rows_are_those_in_the_mix(spark):
+    rows = [(i, "hot" if i % 2 else f"s{i % 6}", "text") for i in range(2000)] + [(None, None, "x"), (3000, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    inside = mix_sources(docs, tempered_weights(docs), cell_rows=100).where("in_mix").collect()
+    kept = keep_mix(docs, cell_rows=100).collect()
+    assert Counter((r.doc_id, r.source) for r in kept) == Counter((r.doc_id, r.source) for r in inside)
+    assert 0 < len(kept) < len(rows)
