@@ -15,7 +15,7 @@ from framecv.llm.near_dedup import near_components
 from framecv.llm.neighbours import nearest
 from framecv.llm.packing import pack_documents
 from framecv.llm.private import KINDS as PRIVATE, find_private, train_private
-from framecv.llm.scoring import score_texts, train_window_model
+from framecv.llm.scoring import score_texts, train_window_model, word_counts
 from framecv.llm.secrets import KINDS as SECRETS, find_secrets, train_secrets
 from framecv.session import materialize
 
@@ -135,4 +135,4 @@ def op10_secrets(spark, sf_dir):
 @query()
 def op2_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_texts(docs, train_window_model(docs)).drop("text")
+    return score_texts(docs, train_window_model(docs), counts=word_counts(docs), keep_text=False)
