@@ -138,3 +138,15 @@ def keep_mix(docs: DataFrame, power: float = 0.7, id_col: str = "doc_id", source
     last = materialize(placed.where("in_mix").groupBy(quoted(source_col).alias("_source")).agg(F.max(spot).alias("_last")))
     return docs.join(F.broadcast(last), quoted(source_col).eqNullSafe(F.col("_source"))).where(spot <= F.col("_last")).select(
         *[quoted(c) for c in docs.columns])
+
+
+def mix_all(docs: DataFrame, power: float = 0.7, id_col: str = "doc_id", source_col: str = "source", **more) -> DataFrame:
+    """Every row of docs, with the columns of docs, sorted by its place in the mix under tempered weights.
+
+    A source that has run out leaves the schedule: its slots are skipped, so the others fill them in proportion to their
+    shares, and the mix ends with the last row of the last source. Rows without a slot, of which tempered weights leave none,
+    come last. The schedule's slots keep their order when some are skipped, so the order of mix_sources is the result's.
+    """
+    rows = docs.select(quoted(id_col).alias("id"), quoted(source_col).alias("source"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    placed = mix_sources(rows, tempered_weights(docs, source_col, power), "id", "source", **more)
+    return placed.orderBy(F.col("slot").asc_nulls_last(), "position").select("row.*")
