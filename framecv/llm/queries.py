@@ -106,7 +106,7 @@ def op7_mixing(spark, sf_dir):
 
 @query()
 def op9_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), added=True)
 
 
 def _span_columns(found, kinds):
