@@ -139,3 +139,16 @@ def heavy_group_folds(spark, sf_dir):
     return sizes.groupBy("repeat").agg(
         F.sum("n_entities").alias("n_entities"), F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_folds"),
         (F.max("n_rows") < 2 * F.min("n_rows")).alias("even"))
+
+
+@query("""WITH keyed AS (SELECT CASE WHEN l_linenumber % 4 = 0 THEN l_returnflag ELSE l_partkey::VARCHAR END AS entity FROM lineitem)
+    SELECT repeat, count(DISTINCT entity) AS n_entities, count(*) AS n_rows, 3::BIGINT AS n_folds, true AS even
+    FROM keyed CROSS JOIN (SELECT unnest(range(8))::INTEGER AS repeat) GROUP BY repeat""")
+def heavy_and_light_group_folds(spark, sf_dir):
+    """Folds of a few large entities and a tail of small ones: in each repeat no fold has over 1/20 more rows than its share."""
+    entity = F.when(F.col("l_linenumber") % 4 == 0, F.col("l_returnflag")).otherwise(F.col("l_partkey").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(entity.alias("entity"))
+    sizes = split_summary(rows.join(assign_folds(rows, "entity", 3, 8, SEED), "entity"), "entity", ["repeat", "fold"])
+    return sizes.groupBy("repeat").agg(
+        F.sum("n_entities").alias("n_entities"), F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_folds"),
+        (F.max("n_rows") * 60 <= F.sum("n_rows") * 21).alias("even"))

@@ -134,16 +134,17 @@ def _balanced_folds(df: DataFrame, key: str, k: int, repeats: int, seed: int) ->
     repeated = entities.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     draw = hash52(F.col(key), F.lit(seed) + F.lit(100) * F.col("repeat"), "fold")
     heavy = repeated.where(F.col("n_rows") > limit).withColumn("_draw", draw).collect()
-    dealt, loads = [], [0] * k
+    dealt, bounds = [], []
     for repeat in range(repeats):
         own = sorted((r for r in heavy if r["repeat"] == repeat), key=lambda r: (-r["n_rows"].bit_length(), r["_draw"]))
         folds, loads = _deal_heavy([r["n_rows"] for r in own], k, (own[0]["_draw"] if own else 0) % k)
         dealt += [(r[key], repeat, fold) for r, fold in zip(own, folds)]
-    bounds = _fill_bounds(loads, total - sum(loads))
+        bounds.append(_fill_bounds(loads, total - sum(loads)))
     light = hash_rank(repeated.where(F.col("n_rows") <= limit), key, draw, ["repeat"], weight="n_rows")
     fold = F.lit(0)
-    for bound in bounds:
-        fold = fold + (F.col("rank") >= F.lit(bound)).cast("int")
+    for ends in zip(*bounds):  # the end of one fold in each repeat
+        end = F.get(F.array(*[F.lit(e) for e in ends]), F.col("repeat"))
+        fold = fold + (F.col("rank") >= end).cast("int")
     out = light.select(key, "repeat", fold.alias("fold"))
     if not dealt:
         return out

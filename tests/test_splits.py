@@ -176,6 +176,18 @@ def test_heavy_entities_are_dealt_anew_in_each_repeat(spark):
         assert max(loads) < 1.2 * min(loads)
 
 
+@pytest.mark.parametrize("k", [2, 3])
+def test_heavy_and_light_entities_fill_the_folds_of_every_repeat(spark, k):
+    sizes = {"a": 500, "b": 260, **{f"s{i}": 1 for i in range(240)}}
+    rows = spark.createDataFrame([(e, j) for e, n in sizes.items() for j in range(n)], "entity string, row int")
+    folds = assign_folds(rows, "entity", k, 8, 42).collect()
+    for repeat in range(8):
+        own = {r["entity"]: r["fold"] for r in folds if r["repeat"] == repeat}
+        assert set(own) == set(sizes)
+        loads = [sum(n for e, n in sizes.items() if own[e] == f) for f in range(k)]
+        assert sorted(loads) == ([500, 500] if k == 2 else [240, 260, 500])
+
+
 def test_regression_noise_needs_row_ids(spark):
     rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 3.0)], "entity string, row int, y double")
     with pytest.raises(ValueError):
