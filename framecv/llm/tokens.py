@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +32,25 @@ def load(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-_loaded: dict[str, tiktoken.Encoding] = {}
+#: A run of white space from this length on is cut out before the pattern sees it, as the pattern would step back through it.
+LONG_RUN = 100_000
+# The white space of the pattern.
+_WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_loaded: dict[str, tuple[tiktoken.Encoding, tiktoken.Encoding]] = {}
+
+
+def _cut_runs(text: str, added: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """(part, whole): a long run of white space is one piece, but for its last character, which goes with what follows it.
+    At the end of the text, or in front of an added token, the last character belongs to the run."""
+    done = 0
+    if len(text) >= LONG_RUN:
+        for m in _WHITE.finditer(text):
+            if m.end() - m.start() >= LONG_RUN:
+                ends = m.end() == len(text) or any(text.startswith(token, m.end()) for token in added)
+                yield text[done:m.start()], False
+                done = m.end() if ends else m.end() - 1
+                yield text[m.start():done], True
+    yield text[done:], False
 
 
 def encoded(texts: Iterable[str | None], path: str, added: bool = False) -> Iterator[bytes]:
@@ -42,8 +61,13 @@ def encoded(texts: Iterable[str | None], path: str, added: bool = False) -> Iter
     without, they are ordinary text, as in the library with encode_special_tokens.
     """
     if path not in _loaded:
-        _loaded[path] = load(path)
-    encoding = _loaded[path]
+        main = load(path)
+        _loaded[path] = main, tiktoken.Encoding(path + " whole", pat_str="(?s).+", mergeable_ranks=main._mergeable_ranks, special_tokens={})
+    encoding, one_piece = _loaded[path]
+    special = encoding.special_tokens_set if added else ()
     for text in texts:
-        ids = [] if not text else encoding.encode(text, allowed_special="all") if added else encoding.encode_ordinary(text)
-        yield array("I", ids).tobytes()
+        ids = array("I")
+        for part, whole in _cut_runs(text or "", special):
+            ids.extend(one_piece.encode_ordinary(part) if whole else encoding.encode(part, allowed_special="all") if added else
+                       encoding.encode_ordinary(part))
+        yield ids.tobytes()

@@ -5,7 +5,6 @@ import pytest
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from framecv.llm.mixing import horizon, pfair_period, tempered_weights, whole_shares
 from tests.llm.test_near_dedup import brute
 
 public = pytest.importorskip("public_tokenizers")
@@ -45,15 +44,25 @@ def test_near_copies_go(stages):
     assert {i for i, _, _, kept in brute(rows, 5, 80) if kept} == {r.doc_id for r in stages[3].collect()}
 
 
-def test_mix_has_the_target_weights(stages):
-    counts = Counter(r.source for r in stages[3].collect())
-    shares = whole_shares(tempered_weights(stages[3]), 1000)
-    end = horizon(counts, shares, 16)
-    slots = defaultdict(list)
-    for s, block, slot, _, _ in pfair_period(shares):
-        slots[s].append(slot)
-    want = {s: sum(1 for k in range(n) if slots[s][k // 16 % shares[s]] + k // 16 // shares[s] * 1000 < end) for s, n in counts.items()}
-    assert Counter(r.source for r in stages[4].collect()) == {s: n for s, n in want.items() if n}
+def test_mix_keeps_every_document(stages):
+    assert Counter(tuple(r) for r in stages[4].collect()) == Counter(tuple(r) for r in stages[3].collect())
+
+
+def test_mix_has_the_target_weights(spark, tmp_path):
+    """Up to the point where the first source runs out, no source is two blocks of 16 rows from its target weight."""
+    sizes = {"a": 4000, "b": 1500, "c": 700, "d": 80}
+    docs = spark.createDataFrame([(i, f"t{i}", "en", s, 2) for s, n in sizes.items() for i in range(n)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    corpus_pipeline.mixing(spark, docs, "").coalesce(1).write.parquet(f"{tmp_path}/mixed")
+    total = sum(n ** 0.7 for n in sizes.values())
+    done: Counter = Counter()
+    for r in spark.read.parquet(f"{tmp_path}/mixed").coalesce(1).toLocalIterator():
+        done[r.source] += 1
+        if done[r.source] == sizes[r.source]:
+            break
+        for s, n in sizes.items():
+            assert abs(done[s] - sum(done.values()) * n ** 0.7 / total) <= 32
+    assert sum(done.values()) > 500
 
 
 def test_packing_holds_every_document(stages):

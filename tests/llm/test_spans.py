@@ -122,3 +122,9 @@ def test_private_over_documents(spark):
     by_id = {r.doc_id: r for r in got}
     assert not any(len(r.spans) > len(r.base) for i, r in by_id.items() if i is not None and i < 600)
     assert private.find_private(docs.limit(0), private.train_private(docs.limit(0))).count() == 0
+
+
+def test_long_zero_padded_numbers():
+    zeros = "0" * 5_000
+    assert base_spans(f"1.2.3.{zeros}7") == [("ip", 0, 6 + 5_001)]
+    assert base_spans(f"1.2.3.{zeros}777") == [] and base_spans(f"1.2.3.{zeros}") == [("ip", 0, 6 + 5_000)]
