@@ -126,5 +126,5 @@ def test_private_over_documents(spark):
 
 def test_long_zero_padded_numbers():
     zeros = "0" * 5_000
-    assert base_spans(f"1.2.3.{zeros}7") == [("ip", 0, 6 + 5_001)]
-    assert base_spans(f"1.2.3.{zeros}777") == [] and base_spans(f"1.2.3.{zeros}") == [("ip", 0, 6 + 5_000)]
+    assert private.base_spans(f"1.2.3.{zeros}7") == [("ip", 0, 6 + 5_001)]
+    assert private.base_spans(f"1.2.3.{zeros}777") == [] and private.base_spans(f"1.2.3.{zeros}") == [("ip", 0, 6 + 5_000)]
