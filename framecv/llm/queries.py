@@ -17,6 +17,7 @@ from framecv.llm.packing import pack_documents
 from framecv.llm.private import KINDS as PRIVATE, find_private, train_private
 from framecv.llm.scoring import score_texts, train_window_model, word_counts
 from framecv.llm.secrets import KINDS as SECRETS, find_secrets, train_secrets
+from framecv.llm.whitening import whiten
 from framecv.session import materialize
 
 def vocabulary() -> str:
@@ -136,3 +137,9 @@ def op10_secrets(spark, sf_dir):
 def op2_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, train_window_model(docs), counts=word_counts(docs), keep_text=False)
+
+
+@query()
+def op11_whitening(spark, sf_dir):
+    rows = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
