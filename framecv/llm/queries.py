@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from framecv.llm.chat import format_chats, read_chats
+from framecv.llm.collocations import collocations
 from framecv.llm.common import ship_package, table
 from framecv.llm.exact_dedup import exact_dedup, text_key
 from framecv.llm.language import held_out, identify, train_languages
@@ -15,6 +16,7 @@ from framecv.llm.near_dedup import near_components
 from framecv.llm.neighbours import nearest
 from framecv.llm.packing import pack_documents
 from framecv.llm.private import KINDS as PRIVATE, find_private, train_private
+from framecv.llm.quality import apply_quality, train_quality
 from framecv.llm.scoring import score_texts, train_window_model, word_counts
 from framecv.llm.secrets import KINDS as SECRETS, find_secrets, train_secrets
 from framecv.llm.whitening import whiten
@@ -143,3 +145,15 @@ def op2_scoring(spark, sf_dir):
 def op11_whitening(spark, sf_dir):
     rows = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@query()
+def op12_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = apply_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+@query()
+def op13_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))

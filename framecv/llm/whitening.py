@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from framecv.llm.common import quoted
+from framecv.llm.words import summed
 from framecv.session import materialize
 
 #: x = floor(SCALE * entry) + SHIFT.
@@ -79,20 +80,6 @@ def _blocks(batches: Iterable[pa.RecordBatch], at: int, width: int) -> Iterator[
             yield part, _matrix(part.column(at), width)
 
 
-def _summed(rows: DataFrame, task, size: int) -> np.ndarray:
-    """task(batches) gives one array of `size` doubles a task; their sum goes to the driver. The arrays are added up in the shuffle by
-    place, so the driver gets `size` rows whatever the number of tasks."""
-    def run(batches):
-        total = task(batches)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total.ravel())], ["at", "value"])
-
-    table = rows.mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros(size)
-    out[table.column("at").to_numpy()] = table.column("value").to_numpy()
-    return out
-
-
 def _centred(x: np.ndarray, n: int, sums: list[int], most: int) -> np.ndarray:
     """x minus the mean, each entry rounded once."""
     return (_exact_deviations(x, n, sums, most) / n).astype(float)
@@ -116,7 +103,7 @@ class _Covariance:
             return total
 
         self.passes += 1
-        return _summed(self.rows, task, block.size).reshape(block.shape) / n
+        return summed(self.rows, task, block.size).reshape(block.shape) / n
 
 
 def _totals(rows: DataFrame, width: int) -> tuple[int, list[int], int]:
@@ -158,7 +145,7 @@ def fit_whitening(rows: DataFrame, components: int = 8, spare: int = 24, degree:
             total += (_centred(x, n, sums, most) ** 2).sum()
         return total
 
-    trace = float(_summed(rows.select("x"), spread, 1)[0]) / n
+    trace = float(summed(rows.select("x"), spread, 1)[0]) / n
     covariance = _Covariance(rows, n, sums, most)
     count, columns = min(components, width), min(width, components + spare)
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, columns)))[0]
@@ -214,7 +201,7 @@ def whiten(df: DataFrame, components: int = 8, id_col: str = "vec_id", vector_co
             total += np.hstack([w.T @ w, w.sum(axis=0)[:, None]])
         return total
 
-    sums_of = _summed(rows.select("x"), moments, count * (count + 1)).reshape(count, count + 1) / n
+    sums_of = summed(rows.select("x"), moments, count * (count + 1)).reshape(count, count + 1) / n
     mean = sums_of[:, -1]
     apart = np.abs(sums_of[:, :-1] - np.outer(mean, mean) - np.eye(count))[np.ix_(live, live)]
     error = float(apart.max()) if apart.size else 0.0
