@@ -7,6 +7,7 @@ up to the longest phrase.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -55,19 +56,22 @@ def _key(words: list[np.ndarray]) -> np.ndarray:
         return mix(sum(w * f for w, f in zip(words, numbers(6, len(words)) | np.uint64(1))))
 
 
-def _salted(keys: np.ndarray, lang: str) -> np.ndarray:
+def _of_language(hashes: np.ndarray, lang: str) -> np.ndarray:
+    """Word hashes that tell languages apart too, so that counts need no other key."""
+    salt = int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
     with np.errstate(over="ignore"):
-        return mix(keys + np.uint64(int.from_bytes(lang.encode()[:7].ljust(7, b"\0"), "little")) * np.uint64(0x9E3779B97F4A7C15))
+        return mix(hashes ^ np.uint64(salt))
 
 
-def _places(keys: np.ndarray, lang: str, bits: int) -> list[np.ndarray]:
-    wide = _salted(keys, lang)
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        wide = mix(keys * np.uint64(0x9E3779B97F4A7C15))
     return [(wide & np.uint64(bits - 1)).astype(np.int64), ((wide >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)]
 
 
-def _held(level: Level, keys: np.ndarray, lang: str) -> np.ndarray:
+def _held(level: Level, keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys), bool)
-    for place in _places(keys, lang, len(level.filter) * 8):
+    for place in _places(keys, len(level.filter) * 8):
         out &= (level.filter[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
     return out
 
@@ -100,7 +104,7 @@ def _spans(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[tuple[str,
                     cuts = np.cumsum(ENDS[part], dtype=np.int32)
                     # a text's own number on top, so that no piece spans two texts
                     piece = cuts[starts] + np.searchsorted(own, starts, "right")
-                    yield lang, part, starts, ends, hash_words(part, starts, ends, seed), piece
+                    yield lang, part, starts, ends, _of_language(hash_words(part, starts, ends, seed), lang), piece
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -148,16 +152,11 @@ def level_of(frequent: DataFrame, length: int) -> Level:
 
     def places(batches):
         for batch in batches:
-            if batch.num_rows:
-                own = [batch.column(1 + k).to_numpy().view(np.uint64) for k in range(length)]
-                keys = _key(own)
-                lang = np.array(batch.column(0).to_pylist(), object)
-                for name in set(lang.tolist()):
-                    at = np.concatenate(_places(keys[lang == name], name, bits))
-                    yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
+            keys = _key([batch.column(k).to_numpy().view(np.uint64) for k in range(length)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(keys, bits)))], ["at"])
 
     # bitmap functions count bits from 1
-    maps = (frequent.select("lang", *words).mapInArrow(places, "at bigint").distinct().groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket"))
+    maps = (frequent.select(*words).mapInArrow(places, "at bigint").distinct().groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("map")).collect())
     table = np.zeros(bits // 8, np.uint8)
     for r in maps:
@@ -201,7 +200,7 @@ class _Tiles:
 
 
 def phrase_counts(texts: DataFrame, words: Level, shorter: Level, length: int, seed: int) -> DataFrame:
-    """(lang, w0, ..., n): occurrences of phrases of `length` words inside pieces, of which every word, the phrase without its last word and that without its
+    """(w0, ..., n): occurrences of phrases of `length` words inside pieces, of which every word, the phrase without its last word and that without its
     first are frequent (or pass for it in the filters). The row of a tile is the rank of the phrase without its last word, the column that of the last word."""
     shared = texts.sparkSession.sparkContext.broadcast((words, shorter))
     names = [f"w{k}" for k in range(length)]
@@ -210,16 +209,16 @@ def phrase_counts(texts: DataFrame, words: Level, shorter: Level, length: int, s
         single, stem = shared.value
         tiles = _Tiles()
 
-        def out(lang, columns, n):
+        def out(columns, n):
             for k in range(0, len(n), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[k:k + 100_000])), *[_signed(np.ascontiguousarray(c[k:k + 100_000])) for c in columns],
-                                                  pa.array(n[k:k + 100_000].astype(np.int64))], ["lang", *names, "n"])
+                yield pa.RecordBatch.from_arrays([*[_signed(np.ascontiguousarray(c[k:k + 100_000])) for c in columns], pa.array(n[k:k + 100_000].astype(np.int64))],
+                                                 [*names, "n"])
 
         def named(lang, rows, columns, n):
-            return out(lang, [*stem.ranked[lang][0][rows].T, single.ranked[lang][0][columns, 0]], n)
+            return out([*stem.ranked[lang][0][rows].T, single.ranked[lang][0][columns, 0]], n)
 
         for lang, _, _, _, hashes, piece in _spans(batches, seed):
-            ok = _held(single, hashes, lang)
+            ok = _held(single, hashes)
             starts = np.arange(max(0, len(hashes) - length + 1))
             fine = piece[starts] == piece[starts + length - 1]
             for k in range(length):
@@ -227,21 +226,21 @@ def phrase_counts(texts: DataFrame, words: Level, shorter: Level, length: int, s
             starts = starts[fine]
             if length > 2:
                 for k in (0, 1):
-                    starts = starts[_held(stem, _key([hashes[starts + k + i] for i in range(length - 1)]), lang)]
+                    starts = starts[_held(stem, _key([hashes[starts + k + i] for i in range(length - 1)]))]
             phrase = [hashes[starts + k] for k in range(length)]
             rows, columns = _ranks(stem, phrase[:-1], lang), _ranks(single, phrase[-1:], lang)
             both = (rows >= 0) & (columns >= 0)
             if both.any():
                 yield from named(lang, *tiles.add(lang, rows[both], columns[both]))
             if not both.all():
-                yield from out(lang, *_runs([w[~both] for w in phrase]))
+                yield from out(*_runs([w[~both] for w in phrase]))
             for cells in tiles.flush(ARRAYS):
                 yield from named(*cells)
         for cells in tiles.flush(1):
             yield from named(*cells)
 
-    schema = "lang string, " + ", ".join(f"{w} bigint" for w in names) + ", n bigint"
-    return texts.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{w} bigint" for w in names) + ", n bigint"
+    return texts.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -266,19 +265,20 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     Null texts are empty, a null language is `und`; repeated rows count each time; languages without a frequent phrase give no row, nor does an empty
     table. Other columns are not read. All counts cover all texts: a phrase is frequent only if its parts are, so each length counts only phrases
-    of frequent parts. Words are told apart by 64-bit hashes; if two words of a language share one, all is done again with other
+    of frequent parts. Words are told apart by 64-bit hashes of word and language; if two share one, all is done again with other
     hashes. What is broadcast: RANKED ranked phrases a length and a filter of 16 MB at most.
     """
     texts = docs.select(F.coalesce(quoted(lang_col).cast("string"), F.lit(NONE)).alias("lang"), quoted(text_col).cast("string").alias("text"))
     every = materialize(word_counts(texts, seed))
-    if every.groupBy("lang", "hash").count().where("count > 1").limit(1).collect():
+    if every.groupBy("hash").count().where("count > 1").limit(1).collect():
         return collocations(docs, text_col, lang_col, longest, least, absorb, first, seed + 100)
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
     vocabulary = materialize(every.where(F.col("n") >= least).select("lang", F.col("hash").alias("w0"), "word", "n"))
     words = shorter = level_of(vocabulary, 1)
     counted = [vocabulary.select("lang", F.array("w0").alias("key"), "n")]
     for length in range(2, longest + 1):
-        found = materialize(phrase_counts(texts, words, shorter, length, seed).where(F.col("n") >= least))
+        found = phrase_counts(texts, words, shorter, length, seed).where(F.col("n") >= least)
+        found = materialize(found.join(vocabulary.select("w0", "lang"), "w0"))
         counted.append(found.select("lang", F.array(*[f"w{k}" for k in range(length)]).alias("key"), "n"))
         if length < longest:
             shorter = level_of(found, length)
@@ -289,19 +289,19 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     size = F.size("key")
     cuts = cuts.withColumns({"left": F.slice("key", F.lit(1), F.col("k")), "right": F.slice("key", F.col("k") + 1, size - F.col("k"))})
     for side, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(phrases.select("lang", F.col("key").alias(side), F.col("n").alias(name)), ["lang", side])
+        cuts = cuts.join(phrases.select(F.col("key").alias(side), F.col("n").alias(name)), [side])
     cuts = cuts.withColumn("score", _score(F.col("a"), F.col("l"), F.col("r")))
     lowest = cuts.groupBy("lang", "key").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut"))
 
     longer = candidates.where(F.size("key") > 2)
-    inside = longer.select("lang", "n", F.explode(F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda m: F.transform(
+    inside = longer.select("n", F.explode(F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda m: F.transform(
         F.sequence(F.lit(1), size - m + 1), lambda s: F.slice("key", s, m))))).alias("key"))
-    over = inside.groupBy("lang", "key").agg(F.max("n").alias("over"))
-    kept = lowest.join(over, ["lang", "key"], "left").where(F.coalesce(F.col("over") * 100 < F.col("cut.a") * absorb, F.lit(True))).select("lang", "key", "cut.*")
+    over = inside.groupBy("key").agg(F.max("n").alias("over"))
+    kept = lowest.join(over, ["key"], "left").where(F.coalesce(F.col("over") * 100 < F.col("cut.a") * absorb, F.lit(True))).select("lang", "key", "cut.*")
 
     for k in range(longest):
-        name = vocabulary.select("lang", F.col("w0").alias(f"_w{k}"), F.col("word").alias(f"_t{k}"))
-        kept = kept.withColumn(f"_w{k}", F.get("key", F.lit(k))).join(name, ["lang", f"_w{k}"], "left")
+        name = vocabulary.select(F.col("w0").alias(f"_w{k}"), F.col("word").alias(f"_t{k}"))
+        kept = kept.withColumn(f"_w{k}", F.get("key", F.lit(k))).join(name, [f"_w{k}"], "left")
     kept = kept.withColumn("phrase", F.concat_ws(" ", *[f"_t{k}" for k in range(longest)]))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     top = kept.select("lang", "phrase", "a", "l", "r", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
