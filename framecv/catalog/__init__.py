@@ -2,6 +2,6 @@
 
 from framecv.catalog.base import ORACLES, QUERIES
 from framecv.catalog import (  # noqa: F401
-    frames, metrics, modelling, perturbation, reports, sequences, sources, splits)
+    frames, metrics, modelling, perturbation, reports, sequences, sources, splits, studies)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -33,6 +33,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in doubles})
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """One partition per core and million rows at least. The driver's tables are files of one row group, so a scan is one task, too few where
+    every row is rendered and parsed as a report. Large tables have enough partitions of their own and are dealt by about as many."""
+    count = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // 1_000_000)
+    return df.repartition(count, *by)
+
+
 # ---- roles -----------------------------------------------------------------------------------
 
 def frames(spark, sf_dir) -> DataFrame:

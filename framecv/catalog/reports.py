@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framecv.catalog.base import KEY, frames, query, rounded, sql, table
+from framecv.catalog.base import KEY, frames, query, rounded, spread, sql, table
 from framecv.sources.energy import (GAS_TERMS, SOLVENT_TERMS, TERM_COLUMNS, TERMS, energy_delta, energy_rollups, energy_summary,
-                                    entity_and_run, parse_energy_reports, propagated_sd)
+                                    entity_and_run, parse_energy_reports, propagated_sd, read_energy_reports, report_deltas)
+from framecv.session import scratch_path
 from framecv.sources.surface import (attach_radius, buried_surface, parse_atom_surface, parse_residue_surface, parse_structure,
-                                     parse_surface_totals, surface_totals)
+                                     parse_surface_totals, read_surface_files, surface_totals)
 
 SECTIONS = ["Complex", "Receptor", "Ligand", "Delta"]
 FRAMES = 2
@@ -29,7 +30,7 @@ def energy_texts(spark, sf_dir) -> DataFrame:
     for s, title in enumerate(SECTIONS):
         body = F.concat_ws("\n", F.lit(f"{title} Energy Terms"), F.lit(header), *[_lines(s, f) for f in range(1, FRAMES + 1)])
         text = F.concat(text, body, F.lit("\n\n"))
-    rows = frames(spark, sf_dir).select(KEY, "run", "frame", "replica", "cents")
+    rows = spread(frames(spark, sf_dir).select(KEY, "run", "frame", "replica", "cents"), KEY, "run", "frame")
     entity = F.translate(F.substring(F.md5(F.col(KEY).cast("string")), 1, 32), "0123456789abcdef", "ACGTACGTACGTACGT")
     path = F.concat(F.lit("/data/set_"), entity, F.lit("/"), F.col("frame").cast("string"), F.lit("/results.csv"))
     report = F.concat_ws("-", KEY, "run", "frame", "replica", "cents")
@@ -68,8 +69,7 @@ _DELTA = {"delta": "SELECT report, frame, j, sum(CASE WHEN s = 0 THEN v ELSE -v
            "frames", _LONG | _DELTA, "average sd sem", 8))
 def energy_delta_summary(spark, sf_dir):
     """Complex - Receptor - Ligand per report and frame, then average and standard error."""
-    rows = parse_energy_reports(energy_texts(spark, sf_dir).drop("path"))
-    return rounded(energy_summary(energy_delta(rows, ["report", "frame"]), []), 8)
+    return rounded(energy_summary(report_deltas(energy_texts(spark, sf_dir).select("value")), []), 8)
 
 
 @query(sql(f"SELECT {_NAMES} AS section, {_TERM} AS term, avg(v) AS average, stddev_pop(v) AS sd, stddev_pop(v) / sqrt(count(*)) AS sem, count(*) AS n FROM energies GROUP BY s, j",
@@ -109,7 +109,8 @@ def _hundredths(modulus: int, shift: int = 0) -> Column:
 
 
 def _chain(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_tax", "l_extendedprice"),
+                  "l_orderkey")
     return rows.select(F.col("l_orderkey").alias("report"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
                        F.col("l_returnflag").alias("chain"), F.col("l_linenumber").alias("number"), F.col("l_tax").alias("tax"),
                        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
@@ -191,3 +192,88 @@ def surface_total_lines(spark, sf_dir):
     line = F.format_string("TOTAL%16.1f%13.1f%13.1f%13.1f%13.1f", *cells)
     rows = _chain(spark, sf_dir).select("report", F.explode(F.array(F.lit("END"), line)).alias("value"))
     return rounded(parse_surface_totals(rows).select("report", "all_abs", "polar_abs"), 1)
+
+
+# ---- report files ----------------------------------------------------------------------------
+
+SEQUENCES = 25
+
+
+def _sequence() -> Column:
+    return F.translate(F.md5((F.col("l_suppkey") % SEQUENCES).cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
+def energy_files(spark, sf_dir) -> str:
+    """One report file per sequence and run, in directories that name both. A line item is a frame: four comma rows, one for each section. The
+    lines of a file are sorted and written by one task, row by row."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        _sequence().alias("sequence"), F.col("l_linenumber").alias("run"), F.col("l_orderkey").alias("frame"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    terms = F.sequence(F.lit(1), F.lit(len(TERMS)))
+    body = F.array(*[F.struct(F.lit(s).alias("part"), F.concat_ws(",", F.col("frame").cast("string"), F.array_join(F.transform(
+        terms, lambda j: (F.pmod(F.col("cents") + j * 37 + F.lit(101 * s), F.lit(10007)) / F.lit(100.0)).cast("string")), ",")).alias("value"))
+        for s in range(len(SECTIONS))])
+    lines = rows.select("sequence", "run", F.col("frame").alias("at"), F.inline(body))
+    heads = F.array(*[F.struct(F.lit(at).cast("bigint").alias("at"), F.lit(s).alias("part"), F.lit(text).alias("value")) for s, title in enumerate(SECTIONS)
+                      for at, text in ((-2, f"{title} Energy Terms"), (-1, "Frame #," + ",".join(TERMS)), (1 << 62, ""))])
+    heads = rows.select("sequence", "run").distinct().select("sequence", "run", F.inline(heads)).select("sequence", "run", "at", "part", "value")
+    path = scratch_path(spark, "energy-files")
+    ordered = lines.unionByName(heads).repartition("sequence", "run").sortWithinPartitions("sequence", "run", "part", "at")
+    ordered.select("sequence", "run", "value").write.partitionBy("sequence", "run").text(path)
+    return path
+
+
+FILE_LAYOUT = r"sequence=([ACGT]+)/run=(\d+)/[^/]+$"
+_IN_FILES = {"file_rows": f"""SELECT translate(md5((l_suppkey % {SEQUENCES})::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence, l_linenumber AS run,
+    l_orderkey AS frame, s, j, ((CAST(round(l_extendedprice * 100) AS BIGINT) + (j + 1) * 37 + 101 * s) % 10007) / 100.0::DOUBLE AS v
+    FROM lineitem CROSS JOIN range(4) AS a(s) CROSS JOIN range({len(TERMS)}) AS c(j)"""}
+
+
+@query(sql(f"""SELECT sequence, run::INTEGER AS run, {_NAMES} AS section, count(*) FILTER (j = 0) AS frames, min(frame)::INTEGER AS first, max(frame)::INTEGER AS last,
+    sum(v) FILTER (j = 0) AS "BOND", sum(v) FILTER (j = {len(TERMS) - 1}) AS "TOTAL" FROM file_rows GROUP BY sequence, run, s""", "", _IN_FILES, '"BOND" "TOTAL"', 3))
+def energy_report_files(spark, sf_dir):
+    """Report files below directories of sequence and run, read section by section."""
+    rows = read_energy_reports(spark, energy_files(spark, sf_dir), FILE_LAYOUT)
+    return rounded(rows.groupBy("sequence", "run", "section").agg(
+        F.count("frame").alias("frames"), F.min("frame").alias("first"), F.max("frame").alias("last"), F.sum("BOND").alias("BOND"), F.sum("TOTAL").alias("TOTAL")), 3)
+
+
+@query(sql(f"""SELECT sequence, run::INTEGER AS run, {_TERM} AS term, sum(d) AS total, stddev_pop(d) AS sd, stddev_pop(d) / sqrt(count(*)) AS sem, count(*) AS n
+    FROM (SELECT sequence, run, frame, j, sum(CASE WHEN s = 0 THEN v ELSE -v END) AS d FROM file_rows WHERE s < 3 GROUP BY ALL) GROUP BY sequence, run, j""",
+           "", _IN_FILES, "total sd sem", 6))
+def energy_file_deltas(spark, sf_dir):
+    """Complex - Receptor - Ligand of reports that are too large for one row: by sequence, run and frame."""
+    rows = read_energy_reports(spark, energy_files(spark, sf_dir), FILE_LAYOUT)
+    found = energy_summary(energy_delta(rows), ["sequence", "run"])
+    # an average of hundredths may lie between two rounded values; its total does not
+    return rounded(found.select("sequence", "run", "term", (F.col("average") * F.col("n")).alias("total"), "sd", "sem", "n"), 6)
+
+
+def surface_files(spark, sf_dir) -> str:
+    """Files of mixed lines: residues, atoms, totals, remarks, and a few that are cut short or have an unknown tag."""
+    # totals are printed with one decimal; round first so that both sides round alike
+    total = F.format_string("TOTAL%16.1f%13.1f%13.1f%13.1f%13.1f", *[F.round(_hundredths(m), 1) for m in (20000, 9000, 8000, 7000, 6000)])
+    rel = F.lit(-99.9)
+    residue = F.format_string(_RES, F.lit("DT"), "chain", "number", _hundredths(20000), rel, _hundredths(9000), rel, _hundredths(8000), rel,
+                              _hundredths(7000), rel, _hundredths(6000), rel)
+    atom = F.format_string(_ATOM, F.pmod("part", F.lit(99999)).cast("int"), F.concat(F.lit("C"), (F.col("number") * 2 + 1).cast("string")), F.lit("DT"), "chain", "number",
+                           _hundredths(9000), _hundredths(9000, 1), _hundredths(9000, 2), _hundredths(5000), F.col("tax"))
+    odd = F.when(F.col("cents") % 7 == 0, F.substring(atom, 1, 40)).when(F.col("cents") % 7 == 1, F.concat(F.lit("HELIX "), F.col("chain"))).otherwise(F.lit("REM  summed areas"))
+    path = scratch_path(spark, "surface-files")
+    lines = _chain(spark, sf_dir).select((F.col("report") % 16).alias("folder"), F.explode(F.array(F.lit("REMARK"), residue, atom, total, odd)).alias("value"))
+    lines.hint("rebalance", "folder").write.partitionBy("folder").text(path)
+    return path
+
+
+@query(sql("""SELECT (report % 16)::INTEGER AS folder, record, count(*) AS n, sum(all_abs) FILTER (record = 'residue') AS all_abs, sum(polar_abs) FILTER (record = 'residue') AS polar_abs,
+    sum((cents % 9000) / 100.0::DOUBLE) FILTER (record = 'atom') AS x, sum((cents % 5000) / 100.0::DOUBLE) FILTER (record = 'atom') AS area,
+    sum(round(nonpolar_abs, 1)) FILTER (record = 'total') AS nonpolar_total, count(CASE WHEN record = 'rejected' THEN 1 END) AS rejected
+    FROM areas CROSS JOIN (SELECT unnest(['none', 'residue', 'atom', 'total', 'odd']) AS line), LATERAL (SELECT CASE WHEN line <> 'odd' THEN line
+        WHEN cents % 7 < 2 THEN 'rejected' ELSE 'none' END AS record) GROUP BY report % 16, record""", "", _CHAIN, "all_abs polar_abs x area nonpolar_total", 3))
+def surface_file_records(spark, sf_dir):
+    """Surface and structure files: every line by its record tag, lines that are not understood kept and counted."""
+    rows = read_surface_files(spark, surface_files(spark, sf_dir))
+    folder = F.regexp_extract("path", r"folder=(\d+)", 1).cast("int")
+    return rounded(rows.groupBy(folder.alias("folder"), "record").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("residue.all_abs").alias("all_abs"), F.sum("residue.polar_abs").alias("polar_abs"), F.sum("atom.x").alias("x"),
+        F.sum("atom.area").alias("area"), F.sum("total.nonpolar_abs").alias("nonpolar_total"), F.count("rejected").alias("rejected")), 3)

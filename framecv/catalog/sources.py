@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import functions as F
 
 from framecv.catalog.base import FEATURES, KEY, ORDER, SEED, frames, labelled, labels, predictions, query, rounded, sql, table
@@ -16,7 +17,7 @@ from framecv.operators.stats import fit_stats
 from framecv.plans.crossval import with_folds
 from framecv.plans.search import best_trial, trial_loss
 from framecv.session import materialize, scratch_path, write_partitioned
-from framecv.sources.predictions import collect_regression_predictions, file_name, read_by_task, read_predictions
+from framecv.sources.predictions import file_account, collect_regression_predictions, file_name, read_by_task, read_predictions
 from framecv.sources.tables import (format_metrics, load_fold, load_stats, model_matrix, params_dict, read_frames, read_labels,
                                     read_csv, read_params, resolve_dataset, save_stats, write_params, write_predictions, write_splits)
 
@@ -190,3 +191,21 @@ def dataset_fallback(spark, sf_dir):
     """The preferred table does not exist, so the fallback is read."""
     rows = resolve_dataset(spark, f"{sf_dir}/lineitem_preferred.parquet", f"{sf_dir}/lineitem.parquet")
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query(sql("""SELECT status, count(*) AS n_files, sum(n)::BIGINT AS n_rows FROM (
+    SELECT 'read' AS status, count(*) AS n FROM preds GROUP BY scr_frac, is_test, rep, fold
+    UNION ALL SELECT 'skipped', 0 UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'unnamed', 0) GROUP BY status""", "preds"))
+def prediction_file_account(spark, sf_dir):
+    """A search at any depth that meets a corrupt, an empty and a foreign file: what was read and what was not."""
+    rows = predictions(spark, sf_dir)
+    path = _stored(rows, _named("reg"), "account", _values("reg"))
+    store, root = FileSystem.from_uri(path)
+    for name, content in (("predictions_reg_scr0p00_rep7_fold0.csv/part-0.csv.gz", b"this is no compressed file, whatever its name says"),
+                          ("predictions_reg_scr0p00_rep8_fold0.csv/part-0.csv", b""), ("other.csv/part-0.csv", b"Label,Predicted,True\n")):
+        target = f"{root}/deep/file={name}"
+        store.create_dir(target.rsplit("/", 1)[0])
+        with store.open_output_stream(target, compression=None) as out:
+            out.write(content)
+    found = file_account(spark, path, "part-*")
+    return found.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"))

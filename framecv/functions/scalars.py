@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def truncated_count(n: Column, fraction: float) -> Column:
+def truncated_count(n: Column, fraction: float | Column) -> Column:
     """``int(n * fraction)`` in double arithmetic."""
-    return (n.cast("double") * F.lit(float(fraction))).cast("bigint")
+    return (n.cast("double") * (fraction if isinstance(fraction, Column) else F.lit(float(fraction)))).cast("bigint")
 
 
 def is_close(a: Column, b, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

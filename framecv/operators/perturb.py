@@ -17,14 +17,19 @@ def scrambled_labels(df: DataFrame, key: str, label: str, fraction: float, seed:
 
     The donor of rank r is rank (r + 1 + draw mod (n - 1)) mod n, hence never the entity itself.
     """
+    both = donor_table(df, key, label, seed)
+    chosen = (F.col("rank") < F.greatest(truncated_count(F.col("n"), fraction), F.lit(min_count).cast("bigint"))) & (F.col("n") > 1)
+    return both.select(key, F.when(chosen, F.col("donated")).otherwise(F.col(label)).alias(label), chosen.alias("scrambled"))
+
+
+def donor_table(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """One row per entity: its label, ``rank`` and ``n``, and ``donated``, the label of its donor."""
     ranked = materialize(hash_rank(entity_table(df, key, label).drop("n_rows"), key, hash52(F.col(key), seed, "scramble")))
     n, rank = F.col("n"), F.col("rank")
-    chosen = (rank < F.greatest(truncated_count(n, fraction), F.lit(min_count).cast("bigint"))) & (n > 1)
     step = F.pmod(hash52(F.col(key), seed, "donor"), F.greatest(n - 1, F.lit(1)))
-    takers = ranked.select(key, label, "rank", F.when(chosen, (rank + 1 + step) % n).otherwise(rank).alias("_donor"))
-    donors = ranked.select(F.col("rank").alias("_donor"), F.col(label).alias("_donated"))
-    return takers.join(donors, "_donor", "inner").select(
-        key, F.col("_donated").alias(label), (F.col("_donor") != F.col("rank")).alias("scrambled"))
+    takers = ranked.withColumn("_donor", (rank + 1 + step) % n)
+    donors = ranked.select(F.col("rank").alias("_donor"), F.col(label).alias("donated"))
+    return takers.join(donors, "_donor", "inner").drop("_donor")
 
 
 def scramble_labels(df: DataFrame, key: str, label: str, fraction: float, seed: int, min_count: int = 0) -> DataFrame:

@@ -30,14 +30,18 @@ def fit_folds(folded: DataFrame, estimator, parallelism: int = 4) -> Models:
     """One model per (repeat, fold), trained on the other folds of the repeat.
 
     Each fit is a distributed job; a few are submitted at a time. Pass a table that is cheap
-    to read again; written by repeat and fold, each fit reads only its own part.
+    to read again; written by repeat and fold, each fit reads only its own part. A fold that is alone in its repeat has no
+    training rows and no model.
     """
+    pairs = present_folds(folded)
+    pairs = [(r, f) for r, f in pairs if sum(r == other for other, _ in pairs) > 1]
+
     def fit(pair):
         repeat, fold = pair
         return pair, estimator.fit(folded.where((F.col("repeat") == repeat) & (F.col("fold") != fold)))
 
     with ThreadPool(parallelism) as pool:
-        return dict(pool.map(inheritable_thread_target(folded.sparkSession)(fit), present_folds(folded)))
+        return dict(pool.map(inheritable_thread_target(folded.sparkSession)(fit), pairs))
 
 
 def _scores(scored: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framecv.functions.hashing import hash52
-from framecv.operators.frames import draw_slices, tail_blocks
+from framecv.operators.frames import _kept, draw_slices, tail_blocks
 from framecv.operators.perturb import scramble_labels
 from framecv.operators.position import MAX_ROWS, order_slices, sliced_position, split_hot, window_position
 from framecv.operators.split import split_entities
@@ -53,39 +54,84 @@ def prepare_experiment(frames: DataFrame, labels: DataFrame, key: str, label: st
     return Prepared(standardize(train, stats, features), standardize(test, stats, features), stats)
 
 
+def _settings_by_keep(settings: DataFrame) -> dict[float, dict[int, list[tuple[str, int]]]]:
+    """The settings (one row per trial at most) as keep -> base block size -> (setting, block size).
+
+    A base is a common divisor of the sizes it serves: blocks of single rows have their own, all others share the greatest.
+    """
+    out: dict[float, dict[int, list]] = {}
+    for r in settings.collect():
+        out.setdefault(float(r["keep"]), {}).setdefault(0, []).append((r["setting"], int(r["navg"])))
+    for keep, found in out.items():
+        sizes = [s for s in found[0] if s[1] > 0]
+        single, others = [s for s in sizes if s[1] == 1], [s for s in sizes if s[1] > 1]
+        out[keep] = ({1: single} if single else {}) | ({math.gcd(*[n for _, n in others]): others} if others else {})
+    return out
+
+
+def _in_keep(keep: float) -> Column:
+    n = F.col("_n")
+    if keep <= 0 or keep >= 100:
+        return F.lit(True)
+    return F.col("_pos") >= n - _kept(n, keep)
+
+
 def tail_blocks_by_setting(frames: DataFrame, settings: DataFrame, key: str, order: Sequence[str], seed: int,
                            label: str, features: Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """Block averages for many settings at once.
+    """Block averages for many settings at once: ``setting, key, block``, the features and the label.
 
-    ``settings``: rows ``(setting, keep, navg)``, one per setting. Positions are found once, each
-    frame is copied to the settings that keep it, and the blocks are keyed by setting and entity.
+    ``settings``: rows ``(setting, keep, navg)``, one per setting. The frames are shuffled once, however many settings there are: inside an
+    entity every keep has a running count along the draw, base blocks are added up from the rows, and the blocks of every size from the base
+    blocks, all in the partitions of that shuffle. Only hot entities are shuffled again, slice by slice.
     """
-    plan = settings.agg(F.collect_list(F.struct("setting", "keep", "navg"))).scalar()
-    cold, warm, _ = split_hot(frames.where(F.col(key).isNotNull()), [key], max_rows)
-
-    def kept(s: Column) -> Column:
-        n = F.col("_n")
-        count = F.greatest(F.lit(1).cast("bigint"), (n.cast("double") * (s["keep"].cast("double") / F.lit(100.0))).cast("bigint"))
-        return (s["keep"] <= 0) | (s["keep"] >= 100) | (F.col("_pos") >= n - count)
-
-    def copies(placed: DataFrame) -> DataFrame:
-        spread = placed.withColumn("_plan", plan).withColumn("_s", F.explode(F.filter("_plan", kept)))
-        extra = ["_rows"] if "_rows" in placed.columns else []
-        return spread.select(F.col("_s.setting").alias("setting"), F.col("_s.navg").alias("_navg"), key, label, *features,
-                             *order, *extra, hash52(*[F.col(c) for c in order], seed, "block").alias("_draw"))
-
-    def blocks(ranked: DataFrame) -> DataFrame:
-        block = F.expr("_pos div _navg")
-        full = ranked.where((F.col("_navg") > 0) & (block < F.expr("_n div _navg")))
-        return full.groupBy("setting", key, block.alias("block")).agg(
-            *[F.avg(c).alias(c) for c in features], F.min_by(label, "_pos").alias(label))
-
-    keys, drawn_order = ["setting", key], ["_draw", *order]
-    out = blocks(window_position(copies(window_position(cold, [key], order)), keys, drawn_order))
+    plan = _settings_by_keep(settings)
+    keeps = sorted(plan)
+    bases = [(i, base, plan[keep][base]) for i, keep in enumerate(keeps) for base in sorted(plan[keep])]
+    names = dict.fromkeys([key, *order, label, *features])
+    narrow = frames.where(F.col(key).isNotNull()).select(*names)
+    cold, warm, _ = split_hot(narrow, [key], max_rows)
+    draw = hash52(*[F.col(c) for c in order], seed, "block")
+
+    def drawn(placed: DataFrame) -> DataFrame:
+        flags = {f"_in{i}": _in_keep(keep).cast("bigint") for i, keep in enumerate(keeps)}
+        return placed.withColumns(flags | {"_draw": draw})
+
+    def running(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        along = Window.partitionBy(*by).orderBy("_draw", *order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({f"_at{i}": F.sum(f"_in{i}").over(along) - 1 for i in range(len(keeps))})
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        # the base blocks of every keep that holds the row
+        spots = [F.when(F.col(f"_in{i}") == 1, F.struct(F.lit(number).alias("base"), F.expr(f"_at{i} div {base}").alias("part"), F.col(f"_at{i}").alias("at"),
+                                                        (F.col("_n") if keeps[i] <= 0 or keeps[i] >= 100 else _kept(F.col("_n"), keeps[i])).alias("rows")))
+                 for number, (i, base, _) in enumerate(bases)]
+        spread = rows.select(key, label, *features, F.explode(F.array_compact(F.array(*spots))).alias("_s"))
+        sums = [f for j, c in enumerate(features) for f in (F.sum(c).alias(f"_sum{j}"), F.count(c).alias(f"_n{j}"))]
+        parts = spread.groupBy(key, F.col("_s.base").alias("_base"), F.col("_s.part").alias("_part"), F.col("_s.rows").alias("_rows")).agg(
+            *sums, F.min_by(label, F.col("_s.at")).alias(label))
+        sizes = F.array(*[F.array(*[F.struct(F.lit(name).alias("setting"), F.lit(n).cast("bigint").alias("n"), F.lit(n // base).cast("bigint").alias("parts"))
+                                    for name, n in served]) for _, base, served in bases])
+        sized = parts.withColumn("_z", F.explode(F.get(sizes, F.col("_base"))))
+        block = F.expr("_part div _z.parts")
+        full = sized.where(block < F.expr("_rows div _z.n"))
+        return full.groupBy(F.col("_z.setting").alias("setting"), key, block.alias("block")).agg(
+            *[F.try_divide(F.sum(f"_sum{j}"), F.sum(f"_n{j}")).alias(c) for j, c in enumerate(features)], F.min_by(label, "_part").alias(label))
+
+    if not bases:
+        empty = narrow.select(F.lit("").alias("setting"), key, F.lit(0).cast("bigint").alias("block"), *[F.col(c).cast("double").alias(c) for c in features], label)
+        return empty.where(F.lit(False))
+    out = blocks(running(drawn(window_position(cold, [key], order)), [key]))
     if warm is None:
         return out
-    placed = sliced_position(order_slices(warm, [key], order, max_rows), [key], order)
-    return out.unionByName(blocks(sliced_position(draw_slices(copies(placed), max_rows), keys, drawn_order)))
+    placed = drawn(sliced_position(order_slices(warm, [key], order, max_rows), [key], order))
+    sliced = draw_slices(placed, max_rows)
+    counts = sliced.groupBy(key, "_slice").agg(*[F.sum(f"_in{i}").alias(f"_c{i}") for i in range(len(keeps))])
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_slice", *[F.coalesce(F.sum(f"_c{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(len(keeps))])
+    # one row per slice of a hot entity, see position.py
+    moved = running(sliced, [key, "_slice"]).join(F.broadcast(offsets), [key, "_slice"])
+    moved = moved.withColumns({f"_at{i}": F.col(f"_at{i}") + F.col(f"_b{i}") for i in range(len(keeps))})
+    return out.unionByName(blocks(moved))
 
 
 def standardize_by_setting(blocks: DataFrame, features: Sequence[str], by: Sequence[str] = ("setting",)) -> DataFrame:

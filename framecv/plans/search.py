@@ -5,14 +5,18 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.errors import IllegalArgumentException
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framecv.functions.hashing import uniform
+from framecv.operators.metrics import regression_metrics
 from framecv.plans.crossval import fit_folds, fold_metrics, score_folds, with_folds
+from framecv.plans.linear import add_moments, entity_scores, fit_moments, row_moments
 from framecv.plans.prepare import standardize_by_setting, tail_blocks_by_setting
-from framecv.session import materialize
+from framecv.session import materialize, scratch_path
 
 log = logging.getLogger(__name__)
 FAILED = 1e6
@@ -77,30 +81,89 @@ def settings_of(trials: DataFrame) -> DataFrame:
                          F.col("keep_last_percent").alias("keep"), F.col("navg").cast("bigint").alias("navg")).distinct()
 
 
+LOG_SCHEMA = "trial bigint, loss double, status string"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """``trial, loss, status`` of the trials that were committed to the log below a path; no rows if there is none yet."""
+    try:
+        return spark.read.schema(LOG_SCHEMA).parquet(f"{path.rstrip('/')}/trial=*").select("trial", "loss", "status")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LOG_SCHEMA)
+
+
+def commit_trial(spark: SparkSession, path: str, trial: int, loss: float) -> None:
+    """One trial's result, written whole or not at all. A trial that is done again replaces its entry."""
+    row = spark.createDataFrame([(trial, loss, "fail" if loss == FAILED else "ok")], LOG_SCHEMA)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/trial={trial}")
+
+
+def open_trials(trials: DataFrame, path: str) -> DataFrame:
+    return trials.join(read_log(trials.sparkSession, path).select("trial"), "trial", "left_anti")
+
+
+def _setting(row) -> str:
+    return f"{int(row['keep_last_percent'])}_{int(row['navg'])}"
+
+
 def run_trials(frames: DataFrame, trials: DataFrame, assignment: DataFrame, key: str, order: Sequence[str], label: str,
-               features: Sequence[str], task: str, kind: str, estimator_for: Callable[[dict], object], seed: int) -> DataFrame:
-    """Prepares the data of all trials in one job, then fits and scores trial by trial.
+               features: Sequence[str], task: str, kind: str, estimator_for: Callable[[dict], object], seed: int, log_path: str | None = None,
+               parallelism: int = 4) -> DataFrame:
+    """Prepares the data of all open trials in one job, then evaluates them, a few at a time.
 
-    Returns the trial log: ``trial``, its parameters, ``loss`` and ``status``. The loop is over the
-    trials only; every fit and every score is a distributed job.
+    Returns the trial log: ``trial``, its parameters, ``loss`` and ``status``. With a ``log_path`` the log outlives the job: every trial is
+    committed when it is done, and trials that the log holds are not run again. Each trial's jobs run in a scheduler pool of their own.
+    Linear regressions need no jobs of their own: the moments of all settings come from one pass, see ``linear_trials``.
     """
     spark = frames.sparkSession
-    settings = settings_of(trials)
+    log_path = log_path or scratch_path(spark, "trials")
+    todo = open_trials(trials, log_path).orderBy("trial").collect()  # one row per trial
+    if not todo:
+        return trials.join(read_log(spark, log_path), "trial")
+    settings = settings_of(open_trials(trials, log_path))
     blocks = materialize(tail_blocks_by_setting(frames, settings, key, order, seed, label, features))
-    prepared = materialize(with_folds(standardize_by_setting(blocks, features), assignment, key), ["setting", "repeat", "fold"])
-    losses = []
-    for row in trials.collect():
-        setting = f"{int(row['keep_last_percent'])}_{int(row['navg'])}"
-        part = prepared.where(F.col("setting") == setting)
+    scaled = with_folds(standardize_by_setting(blocks, features), assignment, key)
+    if kind == "linear" and task == "reg":
+        losses = linear_trials(scaled, todo, key, label, features)
+        for row in todo:
+            commit_trial(spark, log_path, row["trial"], losses[row["trial"]])
+        return trials.join(read_log(spark, log_path), "trial")
+    prepared = materialize(scaled, ["setting", "repeat", "fold"])
+
+    def run(row):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{row['trial']}")
+        part = prepared.where(F.col("setting") == _setting(row))
         try:
-            models = fit_folds(part, estimator_for(row.asDict()))
-            metrics = fold_metrics(score_folds(models, part, key, label), key, task) if models else None
-            mean = metrics.agg(*[F.avg(c).alias(c) for c in metrics.columns if c not in ("repeat", "fold")]) if models else None
-            loss = mean.select(trial_loss(task, kind).alias("loss")).first()["loss"] if models else FAILED
+            models = fit_folds(part, estimator_for(row.asDict()), parallelism=2)
+            loss = FAILED
+            if models:
+                metrics = fold_metrics(score_folds(models, part, key, label), key, task)
+                mean = metrics.agg(*[F.avg(c).alias(c) for c in metrics.columns if c not in ("repeat", "fold")])
+                loss = mean.select(trial_loss(task, kind).alias("loss")).first()["loss"]
         except (IllegalArgumentException, ValueError) as failure:
-            # a setting that the learner refuses gets the penalty; a failed job ends the search
+            # a setting that the learner refuses gets the penalty; a failed job ends the search, and the log keeps the trials before it
             log.warning("trial %s failed: %s", row["trial"], failure)
             loss = FAILED
-        losses.append((row["trial"], float(loss), "fail" if loss == FAILED else "ok"))
-    results = spark.createDataFrame(losses, "trial bigint, loss double, status string")
-    return trials.join(results, "trial", "inner")
+        commit_trial(spark, log_path, row["trial"], float(loss))
+
+    with ThreadPool(parallelism) as pool:
+        list(pool.imap_unordered(inheritable_thread_target(spark)(run), todo))
+    return trials.join(read_log(spark, log_path), "trial")
+
+
+def linear_trials(scaled: DataFrame, todo: Sequence, key: str, label: str, features: Sequence[str]) -> dict[int, float]:
+    """Loss of every linear trial from the moments of its setting: one pass over the blocks of all settings, then a few numbers per
+    trial and fold."""
+    entities = materialize(row_moments(scaled, features, label, ["setting", "repeat", "fold", key]))
+    wanted = {(_setting(row), float(row.asDict().get("wt_decay") or 0.0)) for row in todo}
+    ridges = F.create_map(*[x for name in sorted({n for n, _ in wanted}) for x in (
+        F.lit(name), F.array(*[F.lit(v) for v in sorted(v for n, v in wanted if n == name)]))])
+    folds = add_moments(entities, ["setting", "repeat", "fold"]).withColumn("ridge", F.explode(F.element_at(ridges, F.col("setting"))))
+    models = fit_moments(folds, ["setting", "ridge"], "ridge")
+    scores = entity_scores(entities.join(models, ["setting", "repeat", "fold"]), len(features))
+    metrics = regression_metrics(scores, ["setting", "ridge", "repeat", "fold"], "avg_predicted", "avg_true")
+    mean = metrics.groupBy("setting", "ridge").agg(F.avg("pear").alias("pear"), F.avg("mse").alias("mse"))
+    found = {(r["setting"], r["ridge"]): r["loss"] for r in mean.select("setting", "ridge", trial_loss("reg", "linear").alias("loss")).collect()}
+    return {row["trial"]: float(found.get((_setting(row), float(row.asDict().get("wt_decay") or 0.0)), FAILED)) for row in todo}

@@ -50,10 +50,58 @@ def parse_energy_reports(reports: DataFrame, text: str = "value") -> DataFrame:
                         *[cell(i).try_cast("double").alias(c) for i, c in enumerate(TERM_COLUMNS, 1)])
 
 
+#: Sections end with a blank line, so a report is read as records between blank lines.
+BLANK_LINE = "\n\n"
+
+
 def read_energy_reports(spark: SparkSession, path: str, layout: str = LAYOUT) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True)
-    keyed = raw.withColumns(entity_and_run(F.col("_metadata.file_path"), layout))
-    return parse_energy_reports(keyed)
+    """Section rows of the report files below a path, with entity and replicate from their directories.
+
+    A large report is split between tasks: its records are the sections, which no row holds together. A file with other line ends
+    has no such blank lines and is one record; its rows are the same.
+    """
+    raw = spark.read.option("lineSep", BLANK_LINE).text(path)
+    keyed = raw.select("value", F.col("_metadata.file_path").alias("_path")).where(F.contains("value", F.lit("Energy Terms")))
+    return parse_energy_reports(keyed.withColumns(entity_and_run(F.col("_path"), layout)).drop("_path"))
+
+
+def report_deltas(reports: DataFrame, text: str = "value") -> DataFrame:
+    """Complex - Receptor - Ligand per frame of whole reports, one per row: the other columns, ``frame`` and the terms.
+
+    The lines of the three sections are zipped by frame inside the row, so nothing is shuffled. Frames that one of them lacks are left out; a frame listed twice in a section
+    counts with its first line. Sections that lie in different rows need ``energy_delta``.
+    """
+    keep = [c for c in reports.columns if c != text]
+    parts = ("Complex", "Receptor", "Ligand")
+    wanted = F.array(*[F.lit(name) for name in ["Frame #", *TERMS]])
+
+    def per_part(df: DataFrame, name: str, value) -> DataFrame:
+        return df.withColumns({f"_{name}{i}": value(i) for i in range(3)})
+
+    # step by step, so that no expression is worked out once for each use
+    rows = reports.select(*keep, F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), r"\n[ \t]*\n").alias("_parts"))
+    rows = per_part(rows, "text", lambda i: F.get(F.filter(
+        "_parts", lambda part: F.regexp_like(part, F.lit(rf"(?m)^\s*{parts[i]} Energy Terms\s*$"))), F.lit(0))).drop("_parts")
+    rows = per_part(rows, "all", lambda i: F.filter(F.split(f"_text{i}", "\n"), lambda line: F.contains(line, F.lit(","))))
+    rows = per_part(rows, "head", lambda i: F.transform(F.split(F.get(f"_all{i}", F.lit(0)), ","), lambda c: F.trim(c)))
+    rows = per_part(rows, "at", lambda i: F.transform(wanted, lambda name: F.nullif(F.array_position(F.col(f"_head{i}"), name), F.lit(0)).cast("int") - 1))
+    rows = per_part(rows, "lines", lambda i: F.slice(f"_all{i}", 2, 2147483647))
+    rows = per_part(rows, "frames", lambda i: F.transform(
+        f"_lines{i}", lambda line: F.get(F.split(line, ","), F.get(F.col(f"_at{i}"), F.lit(0))).try_cast("int")))
+    # as a rule the three lists of frames are the same, and the lines are zipped as they stand
+    same = (F.col("_frames0") == F.col("_frames1")) & (F.col("_frames0") == F.col("_frames2")) & (F.size(F.array_distinct("_frames0")) == F.size("_frames0"))
+    shared = F.array_intersect(F.array_intersect("_frames0", "_frames1"), F.col("_frames2"))
+    found = F.transform(F.filter(shared, lambda f: f.isNotNull()), lambda f: F.struct(*[
+        F.get(F.col(f"_lines{i}"), (F.array_position(F.col(f"_frames{i}"), f) - 1).cast("int")).alias(f"_lines{i}") for i in range(3)]))
+    rows = rows.select(*keep, *[f"_at{i}" for i in range(3)], F.inline(F.when(same, F.arrays_zip(*[f"_lines{i}" for i in range(3)])).otherwise(found)))
+    rows = rows.select(*keep, *[f"_at{i}" for i in range(3)], *[F.split(f"_lines{i}", ",").alias(f"_cells{i}") for i in range(3)])
+
+    def cell(part: int, i: int, kind: str) -> Column:
+        return F.get(F.col(f"_cells{part}"), F.get(F.col(f"_at{part}"), F.lit(i))).try_cast(kind)
+
+    deltas = rows.select(*keep, cell(0, 0, "int").alias("frame"), *[(cell(0, i, "double") - cell(1, i, "double") - cell(2, i, "double")).alias(c)
+                                                                   for i, c in enumerate(TERM_COLUMNS, 1)])
+    return deltas.where(F.col("frame").isNotNull())
 
 
 def energy_rollups(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ The name may be that of a file or of a directory written by Spark.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framecv.functions.scalars import fraction_tag, parse_fraction, percent_tag
@@ -47,6 +49,21 @@ def _scan(spark: SparkSession, path: str, glob: str, schema: str, recursive: boo
     return reader.csv(f"{path.rstrip('/')}/{glob}")
 
 
+#: A list of so many files at most is broadcast (some 200 bytes a file; the driver holds it anyway to plan the scan).
+BROADCAST_FILES = 500_000
+
+
+def file_table(raw: DataFrame) -> DataFrame:
+    """One row per file of a scan: ``_path``, ``_known`` (whether the name is understood), ``_kind`` of sweep and what the name says.
+
+    The paths come from the file index of the scan, so no file is opened and every name is parsed once.
+    """
+    paths = [re.sub(r"^(\w+):/+(?=/)", r"\1:", p) if p.startswith("file:") else p for p in raw.inputFiles()]  # rows say file:/ for file:///
+    files = raw.sparkSession.createDataFrame([(p,) for p in paths], "_path string").withColumns({
+        "_known": F.regexp_like("_path", F.lit(NAME)), "_kind": F.regexp_extract("_path", NAME, 5)}).withColumns(name_columns(F.col("_path")))
+    return F.broadcast(files) if len(paths) <= BROADCAST_FILES else files
+
+
 def read_predictions(spark: SparkSession, path: str, glob: str = "predictions_*", schema: str = SCHEMA,
                      sweep: str | None = None, recursive: bool = False) -> DataFrame:
     """Row predictions of every file below ``path`` whose name is understood.
@@ -55,12 +72,14 @@ def read_predictions(spark: SparkSession, path: str, glob: str = "predictions_*"
     ``sweep``: None for plain names, 'noi' or 'sub' for names with a noise or subsample level;
     the level becomes ``noise_level`` (a fraction) or ``sub_pct`` (percent).
     """
-    raw = _scan(spark, path, glob, schema, recursive).withColumn("_path", F.col("_metadata.file_path"))
-    kind = F.regexp_extract("_path", NAME, 5)
-    rows = raw.where(F.regexp_like("_path", F.lit(NAME))).where(kind == (sweep or ""))
-    rows = rows.withColumns(name_columns(F.col("_path"))).drop("_path")
+    raw = _scan(spark, path, glob, schema, recursive)
+    files = file_table(raw)
+    rows = raw.withColumn("_path", F.col("_metadata.file_path")).join(files, "_path", "left")
+    # every row comes from a file of the index; one that does not is an error, not a row to leave out
+    found = F.coalesce(F.col("_kind"), F.raise_error(F.concat(F.lit("not in the file index: "), F.col("_path"))))
+    rows = rows.withColumn("_kind", found).where(F.coalesce(F.col("_known"), F.lit(True)) & (F.col("_kind") == (sweep or "")))
     # a row is either of the test set or of one repeat and fold, or averaged over all of them
-    rows = rows.where(F.col("is_test") | F.col("final_avg") | F.col("rep").isNotNull())
+    rows = rows.where(F.col("is_test") | F.col("final_avg") | F.col("rep").isNotNull()).drop("_path", "_known", "_kind")
     if sweep == "noi":
         return rows.withColumnRenamed("level", "noise_level")
     if sweep == "sub":
@@ -68,6 +87,24 @@ def read_predictions(spark: SparkSession, path: str, glob: str = "predictions_*"
     return rows.drop("level")
 
 
+def file_account(spark: SparkSession, path: str, files: str = ROW_FILES, schema: str = SCHEMA) -> DataFrame:
+    """``path, status`` of every file that a search at any depth finds: ``read`` if it gave rows, ``skipped`` if it gave none because it is corrupt, ``empty``
+    if it has no bytes or its scan ended without rows, ``unnamed`` if its name is not understood.
+
+    The listing reads no content. A corrupt file is told from an empty one by its bytes: a file of some size without a row was skipped.
+    """
+    scan = _scan(spark, path, files, schema, True)
+    gave = scan.select(F.col("_metadata.file_path").alias("_path")).groupBy("_path").agg(F.count(F.lit(1)).alias("n_rows"))
+    # files without a byte are in the index of the scan, not in the listing by size
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path).select(
+        F.col("_metadata.file_path").alias("_path"), "length")
+    header = len(",".join(c.split()[0] for c in schema.split(", "))) + 2  # bytes of a file with a header only
+    status = (F.when(~F.col("_known"), "unnamed").when(F.col("n_rows") > 0, "read")
+              .when(F.coalesce(F.col("length"), F.lit(0)) <= header, "empty").otherwise("skipped"))
+    found = file_table(scan).join(gave, "_path", "left").join(sizes, "_path", "left")
+    return found.select(F.col("_path").alias("path"), status.alias("status"), F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))
+
+
 def read_by_task(spark: SparkSession, path: str, glob: str = "predictions_*") -> dict[str, DataFrame]:
     """The rows of each task under its own column names; classes as integers.
 

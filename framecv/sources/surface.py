@@ -54,6 +54,45 @@ def parse_structure(lines: DataFrame, text: str = "value") -> DataFrame:
     return _records(lines, "ATOM", PDB_FIELDS, text)
 
 
+# The record tags, the fields that a line of each kind must have, and the tags of lines without data.
+RECORDS = {"residue": ("RES ", RESIDUE_FIELDS, ("number", "all_abs")), "total": ("TOTAL", TOTAL_FIELDS, ("all_abs",)),
+           "atom": ("ATOM", ATOM_FIELDS, ("serial", "x", "y", "z"))}
+WITHOUT_DATA = ("REM", "REMARK", "END", "TER", "HEADER", "CHAIN", "HEM")
+
+
+def parse_surface_lines(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Lines of mixed surface and structure files, told apart by their record tag.
+
+    Adds ``record`` (residue, total, atom, none for lines without data, rejected), a struct of fields for each kind of record, NULL on lines of another
+    kind, and ``rejected``: the text of a line with an unknown tag, or without a field that its kind must have.
+    """
+    line = F.col(text)
+    keep = [c for c in lines.columns if c != text]
+    kind = F.lit(None).cast("string")
+    for name, (tag, _, _) in RECORDS.items():
+        kind = F.when(F.startswith(line, F.lit(tag)), F.lit(name)).otherwise(kind)
+    plain = F.trim(line) == ""
+    for tag in WITHOUT_DATA:
+        plain = plain | F.startswith(line, F.lit(tag))
+    tagged = lines.withColumn("_kind", F.when(kind.isNotNull(), kind).when(plain, F.lit("none")))
+    structs = {name: F.when(F.col("_kind") == name, F.struct(*_fields(line, layout))) for name, (_, layout, _) in RECORDS.items()}
+    parsed = tagged.withColumns(structs)
+    whole = F.col("_kind") == "none"
+    for name, (_, _, needed) in RECORDS.items():
+        own = F.col("_kind") == name
+        for field in needed:
+            own = own & F.col(f"{name}.{field}").isNotNull()
+        whole = whole | own
+    ok = F.coalesce(whole, F.lit(False))
+    return parsed.select(*keep, F.when(ok, F.col("_kind")).otherwise(F.lit("rejected")).alias("record"),
+                         *[F.when(ok, F.col(name)).alias(name) for name in RECORDS], F.when(~ok, line).alias("rejected"))
+
+
+def read_surface_files(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the report files below a path, with the path they come from."""
+    return parse_surface_lines(read_report_lines(spark, path))
+
+
 def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with the path they come from; the files are split and read in parallel."""
     return spark.read.text(path).withColumn("path", F.col("_metadata.file_path"))
