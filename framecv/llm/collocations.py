@@ -138,7 +138,12 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
 def level_of(frequent: DataFrame, length: int) -> Level:
     """Ranks and filter of the frequent phrases (lang, w0, w1, ..., n) of a length. The driver gets RANKED rows, and the filter's bytes."""
     words = [f"w{k}" for k in range(length)]
-    top = frequent.orderBy(F.desc("n"), "lang", *words).limit(RANKED).select("lang", *words).toPandas()
+    # the most frequent ones by bins of the count's logarithm, as many whole bins as RANKED holds: which phrases have ranks changes no result
+    bin_of = F.floor(F.log(F.col("n").cast("double")) * 64)
+    bins = sorted(((r.bin, r.n) for r in frequent.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    held = [b for (b, _), total in zip(bins, np.cumsum([n for _, n in bins])) if total <= RANKED]
+    top = frequent.where(bin_of >= min(held)) if held else frequent.limit(0)
+    top = top.select("lang", *words, "n").toPandas().sort_values(["n", "lang", *words], ascending=[False] + [True] * (length + 1))
     ranked = {}
     for lang, own in top.groupby("lang", sort=False):
         rows = own[words].to_numpy().astype(np.int64).view(np.uint64).reshape(-1, length)
@@ -146,7 +151,7 @@ def level_of(frequent: DataFrame, length: int) -> Level:
         order = np.argsort(keys, kind="stable")
         ranked[lang] = (rows, keys[order], order)
     bits = BITMAP_BITS
-    most = frequent.count()
+    most = sum(n for _, n in bins)
     while bits < 16 * most and bits < MOST_BITS:
         bits *= 2
 
@@ -303,6 +308,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         name = vocabulary.select(F.col("w0").alias(f"_w{k}"), F.col("word").alias(f"_t{k}"))
         kept = kept.withColumn(f"_w{k}", F.get("key", F.lit(k))).join(name, [f"_w{k}"], "left")
     kept = kept.withColumn("phrase", F.concat_ws(" ", *[f"_t{k}" for k in range(longest)]))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = kept.select("lang", "phrase", "a", "l", "r", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    # the first of each of 64 parts of a language, then the first of those
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    parts = kept.select("lang", "phrase", "a", "l", "r", "score").withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    few = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("rank") <= first)
+    top = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     return top.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
