@@ -6,17 +6,18 @@ import math
 
 from pyspark.sql import functions as F
 
-from framecv.catalog.base import KEY, ORDER, SEED, blocks_cte, count_of, frames, h, labels, normal, query, rounded, sql, table, tail_cte, unit
-from framecv.catalog.metrics import reg_sql
+from framecv.catalog.base import KEY, ORDER, SEED, blocks_cte, count_of, frames, h, labelled, labels, normal, predictions, query, rounded, sql, table, tail_cte, unit
+from framecv.catalog.metrics import _plotting, cls_sql, reg_sql
 from framecv.catalog.splits import balanced, ranked
 from framecv.functions.hashing import hash52
 from framecv.operators.frames import tail_blocks
-from framecv.operators.metrics import summarize_metrics, regression_metrics
+from framecv.operators.metrics import class_metrics, regression_metrics, summarize_metrics
 from framecv.operators.split import assign_folds, split_entities
 from framecv.operators.stats import fit_stats, standardize
 from framecv.plans.crossval import fold_metrics
-from framecv.plans.linear import (add_moments, fit_moments, linear_study, read_models, row_moments, score_models, write_models)
-from framecv.plans.search import SPACES, run_trials, sample_space
+from framecv.plans.dependence import feature_grid, linear_curves, linear_dependence
+from framecv.plans.linear import (add_moments, fit_moments, fit_whole, linear_study, read_models, row_moments, score_models, write_models)
+from framecv.plans.search import SPACES, run_trials, sample_space, trial_loss
 from framecv.session import materialize, scratch_path
 from framecv.sources.tables import load_fold, read_csv, write_splits, write_trials
 
@@ -194,3 +195,43 @@ def search_trials(spark, sf_dir):
     path = scratch_path(spark, "trials")
     write_trials(log, path)
     return rounded(read_csv(spark, path, log.schema), 4)
+
+
+_BY_NOISE = cls_sql("noise_level", "pred_bin", "true_bin", "preds", True)
+
+
+@query(sql(f"SELECT noise_level, coalesce(0.5::DOUBLE * (1 - accuracy) + 0.5::DOUBLE * (1 - mcc), 1e6) AS loss FROM ({_BY_NOISE})", "preds", rounds="noise_level loss"))
+def class_losses(spark, sf_dir):
+    """The loss of a classification trial at every noise level: accuracy and correlation in equal parts."""
+    by_level = class_metrics(predictions(spark, sf_dir), ["noise_level"], "pred_bin", "true_bin", guard=True)
+    return rounded(by_level.select("noise_level", trial_loss("bin").alias("loss")))
+
+
+# ---- dependence ------------------------------------------------------------------------------
+
+_PAIR = ["price", "quantity"]
+_WHOLE = {"sums": """SELECT var_pop(price) AS s11, var_pop(quantity) AS s22, covar_pop(price, quantity) AS s12, covar_pop(price, y) AS s1y, covar_pop(quantity, y) AS s2y,
+              avg(price) AS m1, avg(quantity) AS m2, avg(y) AS my, count(*) AS n FROM labelled""",
+          "slopes": "SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM sums",
+          "model": "SELECT *, my - b1 * m1 - b2 * m2 AS b0 FROM slopes",
+          "ends": f"SELECT {_plotting(0.05)} AS lo, {_plotting(0.95)} AS hi"}
+
+
+@query(sql("SELECT lo + i * ((hi - lo) / 49) AS grid, b0 + b1 * (lo + i * ((hi - lo) / 49)) + b2 * m2 AS average, n FROM ends CROSS JOIN model CROSS JOIN range(50) AS t(i)",
+           "labelled", _WHOLE, "grid average", 4))
+def linear_dependence_on_price(spark, sf_dir):
+    """Mean prediction of a linear model over all frames at 50 grid values of one of its two features."""
+    rows = labelled(spark, sf_dir)
+    return rounded(linear_dependence(rows, fit_whole(rows, _PAIR, "y"), _PAIR, "price", feature_grid(rows, "price")), 4)
+
+
+@query(sql("""SELECT entity, count(*) AS n, avg(b0 + b2 * quantity + b1 * lo) AS at_low, avg(b0 + b2 * quantity + b1 * hi) AS at_high, min(b0 + b2 * quantity) AS least
+    FROM labelled CROSS JOIN model CROSS JOIN ends GROUP BY entity""", "labelled", _WHOLE, "at_low at_high least", 4))
+def linear_price_curves(spark, sf_dir):
+    """The line of every frame in one feature, summed up by entity at both ends of the grid."""
+    rows = labelled(spark, sf_dir)
+    curves = linear_curves(rows, fit_whole(rows, _PAIR, "y"), _PAIR, "price", [KEY])
+    ends = feature_grid(rows, "price").agg(F.struct(F.min("grid").alias("lo"), F.max("grid").alias("hi"))).scalar()
+    return rounded(curves.withColumn("_e", ends).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("base") + F.col("slope") * F.col("_e.lo")).alias("at_low"),
+        F.avg(F.col("base") + F.col("slope") * F.col("_e.hi")).alias("at_high"), F.min("base").alias("least")), 4)

@@ -31,11 +31,12 @@ def reference_state_score(frames: DataFrame, labels: DataFrame, key: str, value:
                           train: DataFrame | None = None, sign_flip: bool = True) -> DataFrame:
     """Model-free entity prediction: summed z-scores relative to the reference entity.
 
-    The frames are aggregated once per entity and written; the reference is a row of that table.
+    The frames are aggregated once per entity and written; the reference is a row of that table. The ids of the training
+    side and the labels are written too, as they are used more than once.
     """
-    known = labels.select(key, value).distinct()
+    known = materialize(labels.select(key, value).distinct())
     if train is not None:
-        ids = train.select(key).distinct()
+        ids = materialize(train.select(key).distinct())
         frames, known = frames.join(ids, key, "left_semi"), known.join(ids, key, "left_semi")
     scored = standard_score_sum(frames.select(key, *[F.col(f"`{c}`") for c in terms]), terms)
     entities = materialize(scored.groupBy(key).agg(F.avg("sum_z").alias("_mean"),

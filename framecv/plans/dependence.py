@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,6 +15,12 @@ from framecv.operators.quantiles import quantiles
 LOW, HIGH, PLOTTING = 0.05, 0.95, 0.4
 
 
+def feature_grid(source: DataFrame, feature: str, points: int = 50, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The grid of a feature as rows, one column ``grid``."""
+    one = source.sparkSession.range(1)
+    return with_grid(one, source, feature, points, max_rows).select(F.explode("_grid").alias("grid"))
+
+
 def with_grid(df: DataFrame, source: DataFrame, feature: str, points: int = 50, max_rows: int = MAX_ROWS) -> DataFrame:
     """Adds ``_grid``, the values of the feature in ``source`` to predict at: all distinct ones if there
     are fewer than ``points``, else an even grid from the 5th to the 95th percentile."""
@@ -39,3 +47,26 @@ def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, points
     """Mean prediction at each grid value."""
     curves = individual_curves(model, df, feature, [], points, max_rows)
     return curves.groupBy("grid").agg(F.avg("predicted").alias("average"), F.count(F.lit(1)).alias("n"))
+
+
+def linear_dependence(rows: DataFrame, model: DataFrame, features: Sequence[str], feature: str, grid: DataFrame) -> DataFrame:
+    """Mean prediction of a linear model (one row, see ``fit_whole``) at every value of ``grid``: a line through the mean of the rows.
+
+    The rows are read for their means only.
+    """
+    means = rows.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in features], F.count(F.lit(1)).alias("_n")).select(F.struct("*")).scalar()
+    marked = grid.withColumns({"_m": means, "_f": model.select(F.struct("intercept", "coefficients")).scalar()})
+    total = F.col("_f.intercept")
+    for i, c in enumerate(features):
+        total = total + F.get(F.col("_f.coefficients"), F.lit(i)) * (F.col("grid") if c == feature else F.col(f"_m.`{c}`"))
+    return marked.select("grid", total.alias("average"), F.col("_m._n").alias("n"))
+
+
+def linear_curves(rows: DataFrame, model: DataFrame, features: Sequence[str], feature: str, row_id: Sequence[str]) -> DataFrame:
+    """The prediction of every row as a line in one feature: ``row_id, base, slope``. Nothing is copied to a grid."""
+    marked = rows.withColumn("_f", model.select(F.struct("intercept", "coefficients")).scalar())
+    base, slope = F.col("_f.intercept"), F.get(F.col("_f.coefficients"), F.lit(list(features).index(feature)))
+    for i, c in enumerate(features):
+        if c != feature:
+            base = base + F.get(F.col("_f.coefficients"), F.lit(i)) * F.col(f"`{c}`").cast("double")
+    return marked.select(*row_id, base.alias("base"), slope.alias("slope"))

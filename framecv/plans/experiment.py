@@ -10,8 +10,8 @@ from framecv.functions.scalars import numeric_features
 from framecv.operators.perturb import add_label_noise, scramble_labels
 from framecv.operators.split import assign_folds, split_entities, subsample_entities, sweep_levels
 from framecv.operators.stats import fit_stats, standardize
-from framecv.plans.crossval import fit_folds, score_folds, score_holdout, with_folds
-from framecv.session import materialize
+from framecv.plans.crossval import fit_folds, save_models, score_folds, score_holdout, with_folds
+from framecv.session import materialize, scratch_path
 from framecv.sources.tables import model_matrix
 
 Perturb = Callable[[DataFrame, float], DataFrame]
@@ -31,18 +31,19 @@ def subsampling(key: str, seed: int, min_entities: int) -> Perturb:
 
 def run_levels(blocks: DataFrame, key: str, label: str, task: str, estimator, levels: Sequence[float], perturb: Perturb,
                level_name: str = "scr_frac", k: int = 5, repeats: int = 1, seed: int = 42, test_fraction: float = 0.2,
-               features: Sequence[str] | None = None) -> DataFrame:
+               features: Sequence[str] | None = None, model_path: str | None = None) -> DataFrame:
     """Row predictions of all levels: ``key, <level_name>, is_test, repeat, fold, predicted, true``.
 
     ``blocks`` are block averages with labels, read again at every level (written or materialized).
     The split is the same at every level, and only the training side is disturbed. The loop is over
-    levels; every fit and score in it is a distributed job.
+    levels; every fit and score in it is a distributed job. Predictions are written level by level, and the models too if ``model_path`` is given, below
+    ``<level_name>=<level>/repeat=.../fold=...``, so the driver holds the models of one level at a time.
     """
     features = features or numeric_features(blocks, [key, label, "block"])
     stratify = None if task == "reg" else label
     sided = materialize(blocks.join(split_entities(blocks, key, test_fraction, seed, stratify), key), ["is_test"])
     test = sided.where(F.col("is_test")).drop("is_test")
-    out = None
+    path, schema = scratch_path(blocks.sparkSession, "levels"), None
     for level in sweep_levels(levels):
         train = perturb(sided.where(~F.col("is_test")).drop("is_test"), level)
         stats = materialize(fit_stats(train, features))
@@ -54,5 +55,10 @@ def run_levels(blocks: DataFrame, key: str, label: str, task: str, estimator, le
         both = score_folds(models, folded, key, label).withColumn("is_test", F.lit(False)).select(*columns).unionByName(
             score_holdout(models, held, key, label).withColumn("is_test", F.lit(True)).select(*columns))
         both = both.withColumn(level_name, F.lit(float(level)))
-        out = both if out is None else out.unionByName(both)
-    return out
+        both.write.mode("append").parquet(path)
+        schema = both.schema
+        if model_path is not None:
+            save_models(models, f"{model_path.rstrip('/')}/{level_name}={level}")
+    if schema is None:
+        raise ValueError("no levels")
+    return blocks.sparkSession.read.schema(schema).parquet(path)

@@ -92,6 +92,13 @@ def fit_moments(folds: DataFrame, by: Sequence[str] = (), ridge: float | str = 0
     return folds.sparkSession.createDataFrame(sorted(out, key=lambda r: str(r[:len(keys) + 1])), schema)
 
 
+def fit_whole(rows: DataFrame, features: Sequence[str], label: str, ridge: float = 0.0) -> DataFrame:
+    """One model of all rows: ``intercept, coefficients, n_train``; no row without any. The driver gets one row of moments."""
+    found = row_moments(rows, features, label, []).first()[MOMENTS]
+    out = [] if found[0] is None else [(*solve_moments(found, ridge), int(found[0]))]
+    return rows.sparkSession.createDataFrame(out, "intercept double, coefficients array<double>, n_train bigint")
+
+
 def write_models(models: DataFrame, path: str, by: Sequence[str] = ("repeat", "fold"), mode: str = "errorifexists") -> None:
     """The model table as a store with one directory per level, repeat and fold."""
     write_partitioned(models, by, mode).parquet(path)
