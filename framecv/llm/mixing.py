@@ -8,8 +8,10 @@ slots no source is a whole block away from its share.
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from framecv.llm.common import quoted, without
 from framecv.session import materialize
@@ -54,6 +56,38 @@ def pfair_period(shares: dict) -> list[tuple[object, int, int, int, int]]:
     return out
 
 
+#: A schedule of at most so many slots is made from the weights themselves; longer mixes repeat a period of as many slots.
+LONGEST = 1 << 20
+
+
+def whole_weights(weights: dict) -> dict:
+    """The positive weights as whole numbers in exactly their proportions (doubles are binary fractions)."""
+    exact = {s: Fraction(float(w)) for s, w in weights.items() if w and w > 0}
+    scale = math.lcm(*[w.denominator for w in exact.values()]) if exact else 1
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def pfair_slots(weights: dict, length: int) -> list[tuple[object, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of the first slots under the exact weights, earliest deadline first.
+
+    Each source waits with one block at a time: the next is ready once the one before has its slot and its own release has come.
+    """
+    whole = whole_weights(weights)
+    total = sum(whole.values())
+    names = sorted(whole, key=str)
+    later = [(0, k, 0) for k in range(len(names))]  # (release, source, block)
+    ready: list = []
+    out = []
+    for slot in range(length if names else 0):
+        while later and later[0][0] <= slot:
+            release, k, i = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(i + 1) * total // whole[names[k]]), k, i, release))
+        due, k, i, release = heapq.heappop(ready)
+        out.append((names[k], i, slot, release, due))
+        heapq.heappush(later, ((i + 1) * total // whole[names[k]], k, i + 1))
+    return out
+
+
 def tempered_weights(docs: DataFrame, source_col: str = "source", power: float = 0.7) -> dict:
     """Target weights: the number of documents of a source to the given power. One row per source goes to the driver."""
     rows = docs.groupBy(quoted(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -78,14 +112,16 @@ def horizon(counts: dict, shares: dict, block: int, slack: float = 0.01) -> int:
     return int(best + 1e-9)
 
 
-def mix_sources(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block: int = 16, period: int = 1000,
+def mix_sources(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block: int = 16, period: int | None = None,
                 slack: float = 0.01, seed: int = 7, cell_rows: int = 20_000) -> DataFrame:
     """Every row and column of docs and its place in the mix: slot, position inside the slot's block, release, deadline
     and in_mix.
 
-    Sources are dealt in blocks of `block` rows in the order of a seeded hash of the id. A row's slot follows from its number in its source: the period's schedule is made once and repeats, so
-    all rows find their slots at the same time. Rows beyond the mix's end (see horizon) have in_mix false; so do
-    sources without a positive weight, whose slot is null. Nothing is dropped or repeated.
+    Sources are dealt in blocks of `block` rows in the order of a seeded hash of the id. A row's slot follows from its number in its source. A mix of up to LONGEST slots is
+    scheduled slot by slot with the weights as they are, so that after any number of slots every source is less than a block from its target. A longer one, or one with a given
+    `period`, repeats the schedule of a period, with weights rounded to whole slots of it (one at least): then a source is less than a block, and the rounding of up to a slot a
+    period for each source, from its target. All rows find their slots at the same time. Rows beyond the mix's end (see horizon) have in_mix false; under exact weights their slot is the
+    last one before their deadline, which others may have too. Sources without a positive weight have a null slot. Nothing is dropped or repeated.
 
     Row numbers within a source: hash ranges of about cell_rows rows are numbered apart and offset by the ranges
     before them, so a source with a third of all rows is spread like any other. What is broadcast: one row per
@@ -97,8 +133,15 @@ def mix_sources(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_c
     names = [quoted(c) for c in base.columns]
     src = quoted(source_col)
     counts = {r.source: r.n for r in base.groupBy(src.alias("source")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    shares = whole_shares({s: w for s, w in weights.items() if counts.get(s)}, max(period, len(weights)))
-    length = horizon(counts, shares, block, slack) if shares else 0
+    given = {s: float(w) for s, w in weights.items() if counts.get(s) and w and w > 0}
+    length = horizon(counts, given, block, slack) if given else 0
+    exact = period is None and length <= LONGEST
+    if exact:
+        shares, table = given, pfair_slots(given, length)
+    else:
+        shares = whole_shares(given, max(period or LONGEST, len(given)))
+        length = horizon(counts, shares, block, slack) if shares else 0
+        table = pfair_period(shares)
     cycle = sum(shares.values())
     cells = max(1, -(-sum(counts.values()) // cell_rows))
     ordered = base.withColumns({"_key": F.xxhash64(quoted(id_col), F.lit(seed)), "_tie": quoted(id_col)}).withColumn(
@@ -109,19 +152,24 @@ def mix_sources(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_c
     numbered = ordered.join(before, src.eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c"))).withColumn(
         "_at", F.col("_before") + row)
     kind = dict(base.dtypes)[source_col]
-    slots = spark.createDataFrame(pfair_period(shares), f"_src {kind}, _block bigint, _slot bigint, _release bigint, _due bigint")
-    slots = slots.withColumn("_share", F.count(F.lit(1)).over(Window.partitionBy("_src")))
+    slots = spark.createDataFrame(table, f"_src {kind}, _block bigint, _slot bigint, _release bigint, _due bigint")
+    per_source = spark.createDataFrame([(s, float(w)) for s, w in shares.items()], f"_src {kind}, _share double")
     block_no, share = F.floor(F.col("_at") / block), F.col("_share")
-    per_source = F.broadcast(slots.select("_src", "_share").distinct())
-    with_share = numbered.join(per_source, F.col("_s").eqNullSafe(F.col("_src")), "left").drop("_src")
-    with_share = with_share.withColumns({"_turn": F.floor(block_no / share), "_in": block_no % share})
-    placed = with_share.join(F.broadcast(slots.select(F.col("_src"), "_block", "_slot", "_release", "_due")),
-                             F.col("_s").eqNullSafe(F.col("_src")) & (F.col("_in") == F.col("_block")), "left")
-    shift = F.col("_turn") * F.lit(cycle)
+    with_share = numbered.join(F.broadcast(per_source), F.col("_s").eqNullSafe(F.col("_src")), "left").drop("_src")
+    turn = F.lit(0).cast("bigint") if exact else F.floor(block_no / share)
+    with_share = with_share.withColumns({"_turn": turn, "_in": block_no if exact else (block_no % share.cast("bigint"))})
+    # at most LONGEST rows, or those of the given period
+    placed = with_share.join(F.broadcast(slots), F.col("_s").eqNullSafe(F.col("_src")) & (F.col("_in") == F.col("_block")), "left")
+    shift = F.col("_turn") * F.lit(int(cycle)) if not exact else F.lit(0)
+    release, due = F.col("_release") + shift, F.col("_due") + shift
     slot = (F.col("_slot") + shift).cast("bigint")
+    if exact:  # beyond the schedule: the block's own release and deadline
+        release = F.coalesce(release, F.floor(block_no * (F.lit(cycle) / share)))
+        due = F.coalesce(due, F.ceil((block_no + 1) * (F.lit(cycle) / share)))
+        slot = F.coalesce(slot, F.when(share.isNotNull(), F.greatest(due - 1, F.lit(length)))).cast("bigint")
     return placed.select(*names, slot.alias("slot"), (F.col("_at") % block).cast("int").alias("position"),
-                         (F.col("_release") + shift).cast("bigint").alias("release"), (F.col("_due") + shift).cast("bigint").alias("deadline"),
-                         F.coalesce(slot < length, F.lit(False)).alias("in_mix"))
+                         release.cast("bigint").alias("release"), due.cast("bigint").alias("deadline"),
+                         F.coalesce((slot < length) & (F.col("_slot").isNotNull() | F.lit(not exact)), F.lit(False)).alias("in_mix"))
 
 
 def keep_mix(docs: DataFrame, power: float = 0.7, id_col: str = "doc_id", source_col: str = "source", seed: int = 7, **more) -> DataFrame:

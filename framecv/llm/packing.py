@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framecv.llm.common import quoted
 from framecv.llm.near_dedup import by_key
@@ -27,13 +27,14 @@ def cut_points(length: int, capacity: int) -> list[int]:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                 with_ids: bool = False, added: bool = False) -> DataFrame:
+                 with_ids: bool = False, added: bool = False, group: Column | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the ids of each whole text and STOP at the end, cut into pieces.
 
     vocabulary is the path of the tokenizer file on every machine. ids_crc32 is over the ids as little-endian unsigned
     32-bit numbers. with_ids adds them as an array of ids; added: see encoded. Null counts as empty and gives one piece with STOP.
+    A group is carried along as _group.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind, grouped = dict(docs.dtypes)[id_col], group is not None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,10 +50,15 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                    pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             if with_ids:
                 out.append(pa.array(parts, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(out, ["id", "piece", "start", "length", "ids_crc32", "ids"][:len(out)])
+            names = ["id", "piece", "start", "length", "ids_crc32", "ids"][:len(out)]
+            if grouped:
+                out.append(batch.column(2).take(pa.array(own, pa.int64())))
+                names.append("_group")
+            yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
-    return docs.select(quoted(id_col), quoted(text_col).cast("string")).mapInArrow(run, schema)
+    given = [] if not grouped else [group.cast("bigint").alias("_group")]
+    return docs.select(quoted(id_col), quoted(text_col).cast("string"), *given).mapInArrow(run, schema + (", _group bigint" if given else ""))
 
 
 # ---- one group of pieces ---------------------------------------------------------------------
@@ -102,8 +108,17 @@ def local_search(lengths: list[int], bins: list[int], capacity: int) -> list[int
                 fill[to] += size[d]
                 held[d] = to
                 return True
-        gives = [(int(size[d]), (d,)) for d in own.tolist()] + [(int(size[a] + size[b]), (a, b)) for a, b in combinations(own.tolist()[:24], 2)]
-        for total, given in sorted(gives, reverse=True):
+        # one document of each length, and each pair of lengths: a bin of distinct lengths holds few, as their sum is bounded
+        lengths: dict[int, list[int]] = {}
+        for d in own.tolist():
+            lengths.setdefault(int(size[d]), []).append(d)
+        gives = {n: (ds[0],) for n, ds in lengths.items()}
+        for (n, ds), (m, es) in combinations(lengths.items(), 2):
+            gives.setdefault(n + m, (ds[0], es[0]))
+        for n, ds in lengths.items():
+            if len(ds) > 1:
+                gives.setdefault(2 * n, (ds[0], ds[1]))
+        for total, given in sorted(gives.items(), reverse=True):
             ok = np.flatnonzero((held != donor) & (size < total) & (size + spare[held] >= total) & (fill[held] >= fill[donor]))
             if len(ok):
                 x = ok[np.argmin(size[ok])]
@@ -145,16 +160,18 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int],
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 16_384) -> DataFrame:
-    """pieces(id, piece, length, ...) of at most `capacity` each, with sequence_id and offset.
+    """pieces(id, piece, length, ...) of at most `capacity` each, with sequence_id and offset; without _group.
+
+    Pieces with a _group (a number below 2^39) are packed in it, and sequence ids rise with the group; all others are dealt into groups.
 
     Full pieces are sequences of their own. The others are dealt by hash into groups of about group_rows, each packed
     in one task; a group leaves about one sequence that is not full. Groups are as many as the input needs, so what a task
     holds does not grow. Null ids and repeated rows are packed like any other row. An empty table gives an empty result.
     """
-    total = pieces.agg(F.count(F.lit(1))).first()[0]
-    groups = max(1, -(-total // group_rows))
-    names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
+    own_groups = "_group" in pieces.columns
+    groups = 1 if own_groups else max(1, -(-pieces.agg(F.count(F.lit(1))).first()[0] // group_rows))
+    names = [c for c in pieces.columns if c != "_group"]
+    schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id bigint, offset bigint"
 
     def run(batches):
         for table in by_key(batches):
@@ -163,21 +180,24 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 1
             for head, end in zip(np.append(0, cuts).tolist(), np.append(cuts, len(keys)).tolist()):
                 part = table.slice(head, end - head).combine_chunks()
                 places, offsets = pack_group(part.column("length").to_pylist(), capacity)
-                first = int(keys[head]) << 32
+                first = int(keys[head]) << 24
                 own = part.select(names).append_column("sequence_id", pa.array([first + p for p in places], pa.int64()))
                 yield from own.append_column("offset", pa.array(offsets, pa.int64())).to_batches()
 
-    dealt = pieces.select(F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)).alias("_group"), *[quoted(n) for n in names])
+    # rows that repeat are told apart by their place, so that they do not all fall into one group
+    drawn = F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
+    dealt = pieces.select(F.col("_group") if own_groups else drawn.alias("_group"), *[quoted(n) for n in names])
     return dealt.repartition("_group").sortWithinPartitions("_group", F.desc("length"), "id", "piece").mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                   group_rows: int = 16_384, with_ids: bool = False, added: bool = False) -> DataFrame:
+                   group_rows: int = 16_384, with_ids: bool = False, added: bool = False, group: Column | None = None) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Every document with STOP at its end is packed whole, only longer ones than capacity are cut. The pieces without
-    their texts are written once, then packed. Other columns of docs are left out.
+    their texts are written once, then packed. Other columns of docs are left out. `group`, a number for each document, packs the documents of a group
+    together, with sequence ids that rise with it.
     """
-    pieces = materialize(token_pieces(docs, vocabulary, id_col, text_col, capacity, with_ids, added))
+    pieces = materialize(token_pieces(docs, vocabulary, id_col, text_col, capacity, with_ids, added, group))
     packed = pack_pieces(pieces, capacity, group_rows)
     return packed.withColumnRenamed("id", id_col)

@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 from fractions import Fraction
 
-from framecv.llm.mixing import horizon, keep_mix, mix_sources, pfair_period, tempered_weights, whole_shares
+from framecv.llm.mixing import horizon, keep_mix, mix_sources, pfair_period, pfair_slots, tempered_weights, whole_shares, whole_weights
 
 
 def test_period_is_pfair():
@@ -73,3 +73,34 @@ def test_kept_rows_are_those_in_the_mix(spark):
     kept = keep_mix(docs, cell_rows=100).collect()
     assert Counter((r.doc_id, r.source) for r in kept) == Counter((r.doc_id, r.source) for r in inside)
     assert 0 < len(kept) < len(rows)
+
+
+def test_slots_under_exact_weights():
+    """After any number of slots no source is a block away from the weight that was given."""
+    for weights in ({"a": 5.0, "b": 3.0, "c": 2.0}, {"a": 1e6, "b": 1.0}, {"half": 600.0, **{f"s{i}": 1.0 for i in range(600)}}, {"a": 0.1, "b": 0.2, None: 0.7},
+                    {str(i): (i + 1) ** 0.7 for i in range(23)}, {"only": 2.0}):
+        exact = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+        done = Counter()
+        out = pfair_slots(weights, 3000)
+        assert [x[2] for x in out] == list(range(3000))
+        for s, block, slot, release, due in out:
+            assert block == done[s] and release <= slot < due
+            assert release == int(block / exact[s]) and due == -int(-(block + 1) / exact[s] // 1)
+            done[s] += 1
+            if slot % 7 == 0:
+                assert all(abs(w * (slot + 1) - done[o]) < 1 for o, w in exact.items())
+    assert pfair_slots({}, 5) == [] and whole_weights({"a": 0.5, "b": 0, "c": None, "d": 0.75}) == {"a": 2, "d": 3}
+
+
+def test_mix_holds_the_given_weights(spark):
+    """600 equal sources next to one of half the weight, and one of a millionth."""
+    weights = {"half": 600.0, **{f"s{i}": 1.0 for i in range(600)}, "rare": 1200e-6}
+    rows = [(i, s) for s in weights for i in range(3000 if s == "half" else 6)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id bigint, source string"), weights, block=1).collect()
+    total, length = sum(weights.values()), max(r.slot for r in got if r.in_mix) + 1
+    taken = Counter(r.source for r in got if r.in_mix)
+    assert len(got) == len(rows) and length > 5900
+    for s, w in weights.items():
+        assert abs(taken[s] - length * w / total) < 1.5 or taken[s] == (3000 if s == "half" else 6)
+    assert len({r.slot for r in got if r.in_mix}) == sum(taken.values())
+    assert all(r.release <= r.slot < r.deadline for r in got if r.in_mix)

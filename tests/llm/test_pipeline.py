@@ -79,5 +79,27 @@ def test_packing_holds_every_document(stages):
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """The first sequences hold the first documents of the mix, so its weights reach the packed result."""
+    sizes = {"a": 6000, "b": 2500, "c": 1500}
+    docs = spark.createDataFrame([(i, f"text {i}", "en", s, 6) for i, (s, n) in enumerate((s, k) for s, n in sizes.items() for k in range(n))],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    corpus_pipeline.mixing(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    place = {r.doc_id: (r.file_name, r.row_index) for r in mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()}
+    packed = corpus_pipeline.packing(spark, mixed, "").collect()
+    assert len(packed) == len(place)
+    runs = defaultdict(list)
+    for r in packed:
+        runs[r.sequence_id >> 24].append(place[r.doc_id])
+    ordered = [runs[k] for k in sorted(runs)]
+    assert len(ordered) >= 3 and all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
+    source = {r.doc_id: r.source for r in docs.collect()}
+    total, done = sum(n ** 0.7 for n in sizes.values()), Counter(source[i] for i, at in place.items() if at in set(ordered[0]))
+    assert all(abs(done[s] - len(ordered[0]) * n ** 0.7 / total) <= 32 for s, n in sizes.items())
+    # rows that are in no file are dealt by hash
+    assert corpus_pipeline.mix_runs(docs) is None and corpus_pipeline.packing(spark, docs.limit(20), "").count() == 20
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert entry_point.queries()["pipeline"](spark, SF).count() == stages[5].count()
