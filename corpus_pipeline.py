@@ -6,7 +6,8 @@ the last one returns packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framecv.llm.common import ship_package
 from framecv.llm.exact_dedup import drop_copies
@@ -43,10 +44,27 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_all(docs)
 
 
+#: So many documents that follow each other in the mix are packed together.
+RUN_ROWS = 4096
+
+
+def mix_runs(docs: DataFrame) -> Column | None:
+    """Number of the run of the mix that a row lies in, rising with the mix: the stage before has written it in order, file by file. None for rows that are in no file."""
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("bigint")
+    run = number * F.lit(1 << 18) + F.floor(F.col("_metadata.row_index") / RUN_ROWS)
+    try:
+        docs.select(run)
+    except AnalysisException as missing:
+        if missing.getCondition() != "UNRESOLVED_COLUMN.WITH_SUGGESTION":
+            raise
+        return None
+    return run
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences. Sequence ids follow the mix: every run of it is packed by itself."""
     ship_package(spark)
-    return pack_documents(docs, vocabulary(), added=True)
+    return pack_documents(docs, vocabulary(), added=True, group=mix_runs(docs))
 
 
 STAGES = [("language", language), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("packing", packing)]
