@@ -19,14 +19,38 @@ def _require(df: DataFrame, columns: Sequence[str], what: str) -> None:
         raise ValueError(f"{what} lacks the columns {missing}; it has {df.columns}")
 
 
+#: Lines from which the types of a file without a schema are taken.
+HEAD_LINES = 1000
+
+
+def head_schema(text: DataFrame, lines: int = HEAD_LINES) -> T.StructType:
+    """Types of string columns from their first rows: bigint or double where every value is one, else string. No more than those rows are read."""
+    checks = []
+    for i, name in enumerate(text.columns):
+        cell = F.col(f"`{name}`")
+        checks += [F.bool_and(cell.isNull() | cell.try_cast(kind).isNotNull()).alias(f"{kind}_{i}") for kind in ("bigint", "double")]
+        checks.append(F.count(cell).alias(f"n_{i}"))
+    found = text.limit(lines).agg(*checks).first()
+
+    def kind_of(i):
+        if found[f"n_{i}"]:
+            for kind, data_type in (("bigint", T.LongType()), ("double", T.DoubleType())):
+                if found[f"{kind}_{i}"]:
+                    return data_type
+        return T.StringType()
+
+    return T.StructType([T.StructField(name, kind_of(i)) for i, name in enumerate(text.columns)])
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
              rename: dict[str, str] | None = None, **options) -> DataFrame:
-    """CSV with a header. With a schema the header is checked against it; without one types are inferred."""
+    """CSV with a header. With a schema the header is checked against it; without one the types are those of the first lines, and a later value
+    that does not fit fails the read: give a schema then. Either way the file is read once."""
     reader = spark.read.option("header", True).options(**options)
     if schema is None:
-        df = reader.option("inferSchema", True).csv(path)
-    else:
-        df = reader.option("enforceSchema", False).schema(schema).csv(path)
+        schema = head_schema(reader.csv(path))
+        reader = reader.option("mode", "FAILFAST")
+    df = reader.option("enforceSchema", False).schema(schema).csv(path)
     return df.withColumnsRenamed(rename) if rename else df
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from framecv.functions.scalars import clean_feature_name, derive_labels, fraction_tag, log_intensity, percent_tag
 from framecv.functions.sequence import center_kmer, flank, has_motif, mutation_plan, reverse_complement
 from framecv.operators.stats import fit_stats
-from framecv.sources.energy import (TERM_COLUMNS, energy_delta, energy_rollups, energy_summary, propagated_sd, read_energy_reports)
-from framecv.sources.predictions import (collect_regression_predictions, file_name, name_columns, read_by_task, read_predictions, standard_names)
+from framecv.sources.energy import (TERM_COLUMNS, energy_delta, energy_rollups, energy_summary, parse_energy_reports, propagated_sd, read_energy_reports,
+                                    report_deltas)
+from framecv.sources.predictions import (collect_regression_predictions, file_account, file_name, name_columns, read_by_task, read_predictions, standard_names)
 from framecv.sources.surface import (attach_radius, buried_surface, parse_atom_surface, parse_residue_surface, parse_structure,
-                                     parse_surface_totals, read_report_lines, surface_totals)
-from framecv.sources.tables import (format_metrics, load_fold, load_stats, model_matrix, params_dict, read_frames, read_labels, read_params,
+                                     parse_surface_totals, read_report_lines, read_surface_files, surface_totals)
+from framecv.sources.tables import (format_metrics, load_fold, load_stats, model_matrix, params_dict, read_csv, read_frames, read_labels, read_params,
                                     resolve_dataset, save_stats, write_params, write_predictions, write_splits)
 
 # The first frame of each section of a published report.
@@ -218,3 +219,84 @@ def test_sequence_functions(spark):
     assert [tuple(r)[1:] for r in derive_labels(y, "y").collect()] == [(0, 1), (1, 0), (1, 0), (2, 0), (None, None)]
     n = spark.createDataFrame([("HB Energy",), ("Delta_Entropy",), ("EEL",)], "n string")
     assert [r[0] for r in n.select(clean_feature_name(F.col("n"))).collect()] == ["HB", "Entropy", "EEL"]
+
+
+def _report(frames, order=None, titles=SECTIONS, skip=(), extra=()):
+    """A report with the given frames in every section; columns in another order if asked."""
+    names = HEADER.split(",")
+    at = order or range(len(names))
+    text = "REPORT\n\n"
+    for k, title in enumerate(titles):
+        lines = [",".join(names[i] for i in at)]
+        for f in [*frames, *(extra if title == "Receptor" else ())]:
+            if (title, f) not in skip:
+                cells = [str(f), *[f"{(f * 7 + i * 3 + k * 11) % 50}.5" for i in range(12)]]
+                lines.append(",".join(cells[i] for i in at))
+        text += f"{title} Energy Terms\n" + "\n".join(lines) + "\n \n"
+    return text
+
+
+def test_deltas_inside_a_report_equal_those_of_the_rows(spark):
+    texts = [("a", _report(range(1, 82))), ("b", _report([3, 1, 2], order=[5, 0, 1, 2, 3, 4, 12, 11, 10, 9, 8, 7, 6])), ("c", _report([1, 2], skip={("Ligand", 2)})),
+             ("d", _report([1, 2], titles=["Complex", "Receptor"])), ("e", _report([4, 5]).replace("\n", "\r\n")), ("f", "no report"), ("g", _report([1, 2, 3], extra=[9])),
+             ("h", None), ("i", _report([]))]
+    reports = spark.createDataFrame(texts, "report string, value string")
+    got = {(r["report"], r["frame"]): [r[c] for c in TERM_COLUMNS] for r in report_deltas(reports).collect()}
+    want = {(r["report"], r["frame"]): [r[c] for c in TERM_COLUMNS] for r in energy_delta(parse_energy_reports(reports), ["report", "frame"]).collect()}
+    assert set(got) == set(want) == {*[("a", i) for i in range(1, 82)], *[("b", i) for i in (1, 2, 3)], ("c", 1), *[("e", i) for i in (4, 5)], *[("g", i) for i in (1, 2, 3)]}
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert "Exchange" not in report_deltas(reports)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_reports_are_read_section_by_section(spark, tmp_path):
+    folder = tmp_path / "x_GATTACA" / "4"
+    folder.mkdir(parents=True)
+    (folder / "results.csv").write_text(_report(range(1, 5000)).replace("\n \n", "\n\n"))
+    rows = read_energy_reports(spark, f"{tmp_path}/*/*/*.csv")
+    assert rows.where("sequence = 'GATTACA' and run = 4").groupBy("section").count().collect() and rows.count() == 4 * 4999
+    assert energy_delta(rows).count() == 4999
+
+
+def test_mixed_lines_are_told_apart(spark, tmp_path):
+    (tmp_path / "mixed.txt").write_text(RSA + ASA + PDB + "HELIX    1\nATOM      9  cut\nRES  DT     3   no number\n\nTER\n")
+    rows = read_surface_files(spark, str(tmp_path / "mixed.txt")).collect()
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r["record"], []).append(r)
+    assert {k: len(v) for k, v in kinds.items()} == {"residue": 3, "total": 1, "atom": 4, "none": 6, "rejected": 3}
+    assert sorted(r["rejected"] for r in kinds["rejected"]) == ["ATOM      9  cut", "HELIX    1", "RES  DT     3   no number"]
+    assert all(r["rejected"] is None for k, v in kinds.items() if k != "rejected" for r in v)
+    assert kinds["total"][0]["total"]["polar_abs"] == 11808.5 and kinds["total"][0]["atom"] is None
+    assert sorted(r["residue"]["all_abs"] for r in kinds["residue"]) == [103.74, 179.09, 230.32]
+    assert sorted(r["atom"]["x"] for r in kinds["atom"]) == [13.43, 14.48, 15.32, 15.32]
+
+
+def test_account_of_files(spark, tmp_path):
+    deep = tmp_path / "in" / "deep"
+    write(deep / "predictions_reg_scr0p00_rep0_fold0.csv", "Label,Predicted,True\nA,1.5,0.5\nB,1.5,0.5\n")
+    write(deep / "er" / "predictions_test_reg_scr0p50.csv", "Label,Predicted,True\nA,2.5,0.5\n")
+    write(deep / "predictions_reg_scr0p00_rep1_fold0.csv", "Label,Predicted,True\n")
+    write(deep / "predictions_reg_scr0p00_rep2_fold0.csv", "")
+    write(deep / "predictions_reg_scr0p00_rep3_fold0.csv.gz", "this is no compressed file, whatever its name says")
+    write(deep / "predictions_reg_scrambled.csv", "Label,Predicted,True\nA,2.5,0.5\n")
+    rows = file_account(spark, str(tmp_path / "in"), "predictions_*").collect()
+    got = {r["path"].rsplit("/", 1)[1]: (r["status"], r["n_rows"]) for r in rows}
+    assert got == {"predictions_reg_scr0p00_rep0_fold0.csv": ("read", 2), "predictions_test_reg_scr0p50.csv": ("read", 1), "predictions_reg_scr0p00_rep1_fold0.csv": ("empty", 0),
+                   "predictions_reg_scr0p00_rep2_fold0.csv": ("empty", 0), "predictions_reg_scr0p00_rep3_fold0.csv.gz": ("skipped", 0), "predictions_reg_scrambled.csv": ("unnamed", 1)}
+    assert read_predictions(spark, str(tmp_path / "in"), "predictions_*", recursive=True).count() == 3
+
+
+def test_paths_with_odd_characters(spark, tmp_path):
+    write(tmp_path / "a b%c" / "predictions_reg_scr0p25_rep0_fold3.csv", "Label,Predicted,True\nA,1.5,0.5\n")
+    row = read_predictions(spark, str(tmp_path / "a b%c").replace("%", "%"), "predictions_*", recursive=True).first()
+    assert (row["scr_frac"], row["rep"], row["fold"], row["Predicted"]) == (0.25, 0, 3, 1.5)
+
+
+def test_types_from_the_first_lines(spark, tmp_path):
+    write(tmp_path / "t.csv", "n,x,s,none\n" + "".join(f"{i},{i}.5,a{i},\n" for i in range(2000)))
+    df = read_csv(spark, str(tmp_path / "t.csv"))
+    assert df.dtypes == [("n", "bigint"), ("x", "double"), ("s", "string"), ("none", "string")] and df.count() == 2000
+    write(tmp_path / "late.csv", "n\n" + "1\n" * 2000 + "word\n")
+    assert read_csv(spark, str(tmp_path / "late.csv"), "n string").count() == 2001
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|CANNOT_PARSE|FAILED_READ"):
+        read_csv(spark, str(tmp_path / "late.csv")).collect()
