@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framecv.catalog.base import KEY, ORDER, SEED, count_of, frames, h, labelled, predictions, query, rounded, sql, table
 from framecv.functions.hashing import hash52
 from framecv.operators.metrics import split_summary
-from framecv.operators.split import (assign_folds, experiment_grid, hash_rank, entity_table, split_entities, subsample_entities,
+from framecv.operators.split import (assign_folds, experiment_grid, hash_rank, entity_table, seeded_order, split_entities, stored_order, subsample_entities,
                                      subsample_sweep, sweep_levels, test_rows, train_rows)
 
 ENTITIES = {"entities": "SELECT entity, count(*) AS n_rows, min(y) AS y, min(y_bin) AS y_bin, min(y_cls) AS y_cls FROM labelled GROUP BY entity"}
@@ -24,6 +24,12 @@ def seeded_entity_order(spark, sf_dir):
     return hash_rank(entity_table(frames(spark, sf_dir), KEY), KEY, hash52(F.col(KEY), SEED, "order"))
 
 
+@query(sql(f"""SELECT {', '.join(ORDER)}, row_number() OVER (ORDER BY {h(*ORDER, SEED, "'order'")}, {', '.join(ORDER)}) - 1 AS position FROM frames""", "frames"))
+def seeded_row_order(spark, sf_dir):
+    """Seeded shuffle of all rows, stored in that order and numbered by their place in the files."""
+    return stored_order(seeded_order(frames(spark, sf_dir).select(*ORDER), ORDER, SEED))
+
+
 _SPLIT = ENTITIES | ranked("split") | {"split": f"SELECT entity, rank >= {count_of('n', 0.8)} AS is_test FROM ranked"}
 
 

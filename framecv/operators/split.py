@@ -81,6 +81,19 @@ def seeded_order(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     return df.orderBy(draw, *keys)
 
 
+def stored_order(df: DataFrame) -> DataFrame:
+    """Writes rows in the order they have and reads them back with ``position`` (from 0): their place in their file, after the rows of the files before it.
+
+    An order that has to outlive a job needs such a number; a table read again promises none. One count per file is added up.
+    """
+    stored = materialize(df)
+    named = stored.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = named.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    return named.join(starts, "_file").select(*df.columns, (F.col("_before") + F.col("_row")).alias("position"))
+
+
 def split_entities(df: DataFrame, key: str, test_fraction: float, seed: int, stratify: str | None = None,
                    strata_folds: int = 7) -> DataFrame:
     """One row per entity with ``is_test``.
