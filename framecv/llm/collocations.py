@@ -34,8 +34,8 @@ NONE = "und"
 TILE = 1024
 RANKED = 1 << 16
 #: A tile is an array while a chunk of text hits at least one in SPARSE of its cells; a task holds so many arrays at a time.
-SPARSE, ARRAYS = 64, 12
-CHUNK = 1 << 22
+SPARSE, ARRAYS = 64, 6
+CHUNK = 1 << 21
 #: Most bits of the filter of frequent phrases (16 MB). Beyond it more infrequent phrases are counted and then left out.
 MOST_BITS = 1 << 27
 
@@ -175,6 +175,7 @@ class _Tiles:
 
     def __init__(self):
         self.arrays: dict[tuple[str, int, int], np.ndarray] = {}
+        self.hits = 0
 
     def add(self, lang: str, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Adds to arrays; gives back the sparse rest as distinct (row, column) with counts."""
@@ -186,7 +187,8 @@ class _Tiles:
         for t in dense.tolist():
             own = tile == t
             sparse &= ~own
-            cells = np.bincount((rows[own] % TILE) * TILE + columns[own] % TILE, minlength=TILE * TILE)
+            cells = np.bincount((rows[own] % TILE) * TILE + columns[own] % TILE, minlength=TILE * TILE).astype(np.uint32)
+            self.hits += int(hits[t])
             key = (lang, t // across, t % across)
             if key in self.arrays:
                 self.arrays[key] += cells
@@ -196,12 +198,13 @@ class _Tiles:
         return codes // RANKED, codes % RANKED, n
 
     def flush(self, least: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-        """The cells of all arrays, if there are `least` arrays or more."""
-        if len(self.arrays) >= least:
+        """The cells of all arrays, if there are `least` arrays or more, or before a cell could overflow."""
+        if len(self.arrays) >= least or self.hits >= 1 << 31:
             for (lang, i, j), cells in self.arrays.items():
                 at = np.flatnonzero(cells)
                 yield lang, i * TILE + at // TILE, j * TILE + at % TILE, cells[at]
             self.arrays.clear()
+            self.hits = 0
 
 
 def phrase_counts(texts: DataFrame, words: Level, shorter: Level, length: int, seed: int) -> DataFrame:
