@@ -35,7 +35,9 @@ TILE = 1024
 RANKED = 1 << 16
 #: A tile is an array while a chunk of text hits at least one in SPARSE of its cells; a task holds so many arrays at a time.
 SPARSE, ARRAYS = 64, 6
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Rows that are copied out of a batch at a time.
+ROWS = 1024
 #: Most bits of the filter of frequent phrases (16 MB). Beyond it more infrequent phrases are counted and then left out.
 MOST_BITS = 1 << 27
 
@@ -91,7 +93,7 @@ def _ranks(level: Level, words: list[np.ndarray], lang: str) -> np.ndarray:
 
 def _spans(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(lang, bytes, word starts, ends, hashes, piece numbers) of chunks of whole texts of one language."""
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         langs = batch.column(0).dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             data, offsets = text_bytes(batch.column(1).filter(pc.equal(langs.indices, k)))

@@ -24,6 +24,8 @@ FAN, LEVELS, WIDTH = 16, 3, 16
 BUCKETS = FAN ** LEVELS
 PLACES = (-2, -1, 1, 2)
 BATCH = 8192
+#: Rows of one matrix product.
+PIECE = 1024
 #: Values of the model that one row carries on its way to the average.
 BLOCK = 16_384
 #: Words with more than this part of all occurrences, fewer than so many, are looked up in each task; the others are joined.
@@ -72,7 +74,9 @@ def windows(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
 def _around(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
     length = np.repeat(counts, counts)
-    around = np.full((len(PLACES), len(word)), BUCKETS)
+    # 16 bits hold a bucket, and numbers of 16 bits are sorted by radix
+    word = word.astype(np.uint16)
+    around = np.full((len(PLACES), len(word)), BUCKETS, np.uint16)
     for k, step in enumerate(PLACES):
         there = np.flatnonzero((place + step >= 0) & (place + step < length))
         around[k, there] = word[there + step]
@@ -85,12 +89,28 @@ def _levels(word: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.zeros_like(word), first), (1 + first, second), (1 + FAN + word // FAN, third)]
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, PIECE rows at a time: products of this size run in one thread, and more threads only wait for each other."""
+    whole = len(a) // PIECE * PIECE
+    out = np.empty((len(a), b.shape[1]), np.result_type(a, b))
+    np.matmul(a[:whole].reshape(-1, PIECE, a.shape[1]), b, out=out[:whole].reshape(-1, PIECE, b.shape[1]))
+    np.matmul(a[whole:], b, out=out[whole:])
+    return out
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, in the same pieces."""
+    whole = len(a) // PIECE * PIECE
+    parts = np.matmul(a[:whole].reshape(-1, PIECE, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, PIECE, b.shape[1]))
+    return parts.sum(axis=0) + a[whole:].T @ b[whole:]
+
+
 def forward(model: dict, word: np.ndarray, around: np.ndarray):
     hidden = np.tanh(sum(model["embed"][k][around[k]] for k in range(len(PLACES))) + model["bias"])
     steps, total = [], np.zeros(len(word), np.float32)
     for level, (node, choice) in enumerate(_levels(word)):
         z = hidden + model["node"][node]
-        logits = z @ model["out"][level] + model["chance"][node]
+        logits = _times(z, model["out"][level]) + model["chance"][node]
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=1, keepdims=True)
@@ -126,9 +146,9 @@ class Trainer:
         for level, (node, choice, z, p) in enumerate(steps):
             p[np.arange(len(word)), choice] -= 1
             p /= n
-            back = p @ self.model["out"][level].T
+            back = _times(p, self.model["out"][level].T)
             to_hidden += back
-            out = z.T @ p
+            out = _crossed(z, p)
             rows, grad = _sums(node, np.concatenate([p, back], axis=1))
             self._step("chance", rows, grad[:, :FAN])
             self._step("node", rows, grad[:, FAN:])
