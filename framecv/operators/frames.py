@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framecv.functions.hashing import HASH_SPAN, hash52
 from framecv.functions.scalars import numeric_features
-from framecv.operators.position import (MAX_ROWS, order_slices, slice_offsets, sliced_position, split_hot,
+from framecv.operators.position import (MAX_ROWS, order_slices, ordered_position, sliced_position, split_hot,
                                         window_position, with_position)
 
 
@@ -35,14 +35,8 @@ def _tail_cold(cold: DataFrame, key: str, order: Sequence[str], pct: float) -> D
 def _tail_hot(warm: DataFrame, key: str, order: Sequence[str], pct: float, max_rows: int) -> DataFrame:
     """Finds the first kept row of each hot entity; the rows themselves are only filtered."""
     point = F.struct(*order)
-    sliced = order_slices(warm.select(key, "_rows", *[c for c in order if c != key]), [key], order, max_rows)
-    first = F.col("_n") - _kept(F.col("_n"), pct)
-    cut_slice = slice_offsets(sliced, [key]).where(
-        (F.col("_before") <= first) & (first < F.col("_before") + F.col("_size"))
-    ).select(key, "_slice", (first - F.col("_before")).alias("_skip"))
-    edge = sliced.join(F.broadcast(cut_slice), [key, "_slice"], "inner")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    cuts = edge.withColumn("_rank", rank).where(F.col("_rank") == F.col("_skip")).select(key, point.alias("_cut"))
+    placed = ordered_position(order_slices(warm.select(key, *[c for c in order if c != key]), [key], order, max_rows), [key])
+    cuts = placed.where(F.col("_pos") == F.col("_n") - _kept(F.col("_n"), pct)).select(key, point.alias("_cut"))
     return warm.join(F.broadcast(cuts), key, "inner").where(point >= F.col("_cut")).drop("_cut")
 
 
@@ -70,9 +64,13 @@ def _blocks_cold(cold, key, order, n, seed, label, features):
     return _means(window_position(drawn, [key], ["_draw", *order]), key, n, features, label)
 
 
+#: Slices of one hot entity. A slice is sorted and streamed, so it may grow with a very large entity; its count is broadcast.
+MAX_SLICES = 1 << 14
+
+
 def draw_slices(drawn: DataFrame, max_rows: int) -> DataFrame:
     """Slices of hot entities along ``_draw``: it is uniform, so equal ranges of it hold equal shares."""
-    slices = F.expr(f"greatest(1, _rows div {max(1, max_rows // 2)})")
+    slices = F.expr(f"least({MAX_SLICES}, greatest(1, _rows div {max(1, max_rows // 2)}))")
     return drawn.withColumn("_slice", F.floor(F.col("_draw") / F.lit(float(HASH_SPAN)) * slices)).drop("_rows")
 
 

@@ -4,7 +4,7 @@ A window over a group runs in one task, so it is used only for groups of at most
 ``max_rows`` rows. Larger ("hot") groups are cut into slices along their own order;
 a position is then the number of rows in the earlier slices plus the position in the
 slice. At most N / max_rows groups can be hot, which bounds everything broadcast here:
-the hot keys, four edges per ``max_rows`` rows, and one count per slice.
+the hot keys and one count per slice and hot group.
 The input is read more than once: pass a scan or a materialized table, not the result
 of a shuffle.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from framecv.session import materialize
 
 MAX_ROWS = 2_000_000
-# Edges of one hot group: a thin sample of its rows, about this many at the most.
-MAX_EDGES = 1 << 16
+# Rows of a slice of the sorted hot groups, where they are so many that every core has one.
+SLICE_ROWS = 1_000_000
 
 
 def _weight(weight: str | None) -> Column:
@@ -59,27 +59,26 @@ def window_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], we
     return df.withColumns({"_pos": F.coalesce(before, F.lit(0).cast("bigint")), "_n": F.sum(w).over(group)})
 
 
-def _slice_edges(warm: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> DataFrame:
-    step = F.greatest(F.lit(max(1, max_rows // 4)), F.expr(f"_rows div {MAX_EDGES}"))
-    sample = warm.where(F.pmod(F.xxhash64(*order), step) == 0)
-    return sample.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_edges"))
-
-
-def _edges_below(edges: Column, point: Column) -> Column:
-    """Number of sorted edges below the point, by binary search."""
-    strides = F.array(*[F.lit(1 << b) for b in range(17, -1, -1)])
-
-    def step(found, stride):
-        return F.when(F.get(edges, found + stride - 1) < point, found + stride).otherwise(found)
+def order_slices(warm: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> DataFrame:
+    """The rows sorted by key and order, written once with ``_slice`` (it never decreases along the order) and ``_at`` (it grows with every row).
 
-    return F.coalesce(F.aggregate(strides, F.lit(0), step), F.lit(0))
+    Spark samples the ranges, so a row is compared with a few edges and no row carries them. A slice is sorted and streamed, never held as a whole.
+    """
+    rows = warm.count()
+    wanted = max(warm.sparkSession.sparkContext.defaultParallelism, rows // SLICE_ROWS)
+    slices = max(1, min(rows // max(1, max_rows // 2), wanted))
+    ranged = warm.repartitionByRange(slices, *keys, *order).sortWithinPartitions(*keys, *order)
+    return materialize(ranged.withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
 
 
-def order_slices(warm: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> DataFrame:
-    """Adds ``_slice``: it never decreases along the order, and no slice is much above ``max_rows``."""
-    edges = _slice_edges(warm, keys, order, max_rows)
-    tagged = warm.join(F.broadcast(edges), list(keys), "left")
-    return tagged.withColumn("_slice", _edges_below(F.col("_edges"), F.struct(*order))).drop("_edges")
+def ordered_position(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_pos`` and ``_n`` to the rows of ``order_slices``: the place of a row in its slice and the rows of earlier slices, so nothing is shuffled."""
+    counts = stored.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    group = Window.partitionBy(*keys)
+    before = F.sum("_size").over(group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*keys, "_slice", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_size").over(group).alias("_n"))
+    joined = stored.join(F.broadcast(offsets), [*keys, "_slice"], "inner")
+    return joined.withColumn("_pos", F.col("_at") + F.col("_shift")).drop("_slice", "_at", "_shift")
 
 
 def slice_offsets(sliced: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -107,5 +106,6 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], weig
     out = window_position(cold, keys, order, weight)
     if warm is None:
         return out
-    sliced = order_slices(warm, keys, order, max_rows).drop("_rows")
-    return out.unionByName(sliced_position(sliced, keys, order, weight))
+    sliced = order_slices(warm.drop("_rows"), keys, order, max_rows)
+    placed = ordered_position(sliced, keys) if weight is None else sliced_position(sliced.drop("_at"), keys, order, weight)
+    return out.unionByName(placed)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from framecv.functions.hashing import hash52
 from framecv.operators.frames import _kept, draw_slices, tail_blocks
 from framecv.operators.perturb import scramble_labels
-from framecv.operators.position import MAX_ROWS, order_slices, sliced_position, split_hot, window_position
+from framecv.operators.position import MAX_ROWS, order_slices, ordered_position, split_hot, window_position
 from framecv.operators.split import split_entities
 from framecv.operators.stats import fit_stats, standardize
 from framecv.session import materialize
@@ -123,7 +123,7 @@ def tail_blocks_by_setting(frames: DataFrame, settings: DataFrame, key: str, ord
     out = blocks(running(drawn(window_position(cold, [key], order)), [key]))
     if warm is None:
         return out
-    placed = drawn(sliced_position(order_slices(warm, [key], order, max_rows), [key], order))
+    placed = drawn(ordered_position(order_slices(warm, [key], order, max_rows), [key]))
     sliced = draw_slices(placed, max_rows)
     counts = sliced.groupBy(key, "_slice").agg(*[F.sum(f"_in{i}").alias(f"_c{i}") for i in range(len(keeps))])
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framecv.functions.scalars import keep_existing, numeric_features, ordered_columns
 from framecv.operators.frames import block_average, frame_positions, join_labels, tail_blocks, tail_percent
-from framecv.operators.position import with_position
+from framecv.operators.position import order_slices, ordered_position, split_hot, with_position
 from framecv.operators.stats import fit_stats, fold_train_stats, standardize, standardize_by_fold, stats_long, stats_wide
 from framecv.plans.prepare import prepare_experiment, standardize_by_setting, tail_blocks_by_setting
 
@@ -58,6 +58,15 @@ def test_positions_match_brute_force(skewed, max_rows):
     assert {(r["entity"], r["run"], r["frame"]): (r["position"], r["group_size"]) for r in rows} == want
 
 
+def test_slices_do_not_grow_with_small_windows(spark):
+    rows = spark.range(20_000).select(F.lit("s").alias("entity"), (F.col("id") * 7919 % 20_000).alias("at"), "id")
+    _, warm, _ = split_hot(rows, ["entity"], 3)
+    sliced = order_slices(warm, ["entity"], ["at"], 3)
+    assert 1 < sliced.select("_slice").distinct().count() <= spark.sparkContext.defaultParallelism
+    placed = ordered_position(sliced, ["entity"])
+    assert placed.where((F.col("_pos") != F.col("at")) | (F.col("_n") != 20_000)).isEmpty() and placed.count() == 20_000
+
+
 @pytest.mark.parametrize("max_rows", LIMITS)
 def test_weighted_positions(spark, max_rows):
     df = spark.createDataFrame([("a", i, 1 + i % 3) for i in range(50)], "k string, v int, w int")
