@@ -23,6 +23,25 @@ def entity_and_run(path: Column, layout: str = LAYOUT) -> dict[str, Column]:
             "run": F.nullif(F.regexp_extract(path, layout, 2), F.lit("")).cast("int")}
 
 
+#: The header as the reports print it.
+HEADER = "Frame #," + ",".join(TERMS)
+
+
+def _spots(line: Column, head: Column) -> Column:
+    """Where the frame and each term stand in the cells of a row (NULL if missing), from the header line and its trimmed cells.
+
+    The printed header needs no search.
+    """
+    wanted = F.array(*[F.lit(name) for name in ["Frame #", *TERMS]])
+    found = F.transform(wanted, lambda name: F.nullif(F.array_position(head, name), F.lit(0)).cast("int") - 1)
+    return F.when(line == HEADER, F.sequence(F.lit(0), F.lit(len(TERMS)))).otherwise(found)
+
+
+def _head(line: Column) -> Column:
+    """Trimmed cells of a header line that differs from the printed one."""
+    return F.when(line != HEADER, F.transform(F.split(line, ","), lambda c: F.trim(c)))
+
+
 def parse_energy_reports(reports: DataFrame, text: str = "value") -> DataFrame:
     """Reports (one per row) to one row per section and frame; the other columns are kept.
 
@@ -32,22 +51,19 @@ def parse_energy_reports(reports: DataFrame, text: str = "value") -> DataFrame:
     keep = [c for c in reports.columns if c != text]
     plain = F.replace(F.col(text), F.lit("\r"), F.lit(""))
     sections = reports.select(*keep, F.explode(F.split(plain, r"\n[ \t]*\n")).alias("_part"))
-    title = F.regexp_extract("_part", r"(?m)^\s*(\w+) Energy Terms\s*$", 1)
-    lines = F.filter(F.split("_part", "\n"), lambda line: F.contains(line, F.lit(",")))
-    tables = sections.select(*keep, title.alias("section"), lines.alias("_lines")).where(F.col("section") != "")
-    header = F.transform(F.split(F.get("_lines", F.lit(0)), ","), lambda c: F.trim(c))
+    titled = sections.select(*keep, "_part", F.regexp_extract("_part", r"(?m)^\s*(\w+) Energy Terms\s*$", 1).alias("section"))
+    # other parts have no lines; a filter would be pushed down and look for every title twice
+    lines = F.when(F.col("section") != "", F.filter(F.split("_part", "\n"), lambda line: F.contains(line, F.lit(","))))
+    tables = titled.select(*keep, "section", lines.alias("_lines"))
+    first = F.get("_lines", F.lit(0))
     # where each column stands is looked up once per section
-    wanted = F.array(*[F.lit(name) for name in ["Frame #", *TERMS]])
-    spots = F.transform(wanted, lambda name: F.nullif(F.array_position("_head", name), F.lit(0)).cast("int") - 1)
-    placed = tables.withColumn("_head", header).select(*keep, "section", "_lines", spots.alias("_at"))
+    placed = tables.withColumn("_head", _head(first)).select(*keep, "section", "_lines", _spots(first, F.col("_head")).alias("_at"))
     placed = placed.select(*keep, "section", "_at", F.explode(F.slice("_lines", 2, 2147483647)).alias("_row"))
     cells = placed.select(*keep, "section", "_at", F.split("_row", ",").alias("_cells"))
-
-    def cell(i: int) -> Column:
-        return F.get("_cells", F.get("_at", F.lit(i)))
-
-    return cells.select(*keep, "section", cell(0).try_cast("int").alias("frame"),
-                        *[cell(i).try_cast("double").alias(c) for i, c in enumerate(TERM_COLUMNS, 1)])
+    # all cells of a row are cast at once
+    numbers = cells.select(*keep, "section", "_at", "_cells", F.col("_cells").try_cast("array<double>").alias("_numbers"))
+    return numbers.select(*keep, "section", F.get("_cells", F.get("_at", F.lit(0))).try_cast("int").alias("frame"),
+                          *[F.get("_numbers", F.get("_at", F.lit(i))).alias(c) for i, c in enumerate(TERM_COLUMNS, 1)])
 
 
 #: Sections end with a blank line, so a report is read as records between blank lines.
@@ -73,7 +89,6 @@ def report_deltas(reports: DataFrame, text: str = "value") -> DataFrame:
     """
     keep = [c for c in reports.columns if c != text]
     parts = ("Complex", "Receptor", "Ligand")
-    wanted = F.array(*[F.lit(name) for name in ["Frame #", *TERMS]])
 
     def per_part(df: DataFrame, name: str, value) -> DataFrame:
         return df.withColumns({f"_{name}{i}": value(i) for i in range(3)})
@@ -83,8 +98,8 @@ def report_deltas(reports: DataFrame, text: str = "value") -> DataFrame:
     rows = per_part(rows, "text", lambda i: F.get(F.filter(
         "_parts", lambda part: F.regexp_like(part, F.lit(rf"(?m)^\s*{parts[i]} Energy Terms\s*$"))), F.lit(0))).drop("_parts")
     rows = per_part(rows, "all", lambda i: F.filter(F.split(f"_text{i}", "\n"), lambda line: F.contains(line, F.lit(","))))
-    rows = per_part(rows, "head", lambda i: F.transform(F.split(F.get(f"_all{i}", F.lit(0)), ","), lambda c: F.trim(c)))
-    rows = per_part(rows, "at", lambda i: F.transform(wanted, lambda name: F.nullif(F.array_position(F.col(f"_head{i}"), name), F.lit(0)).cast("int") - 1))
+    rows = per_part(rows, "head", lambda i: _head(F.get(f"_all{i}", F.lit(0))))
+    rows = per_part(rows, "at", lambda i: _spots(F.get(f"_all{i}", F.lit(0)), F.col(f"_head{i}")))
     rows = per_part(rows, "lines", lambda i: F.slice(f"_all{i}", 2, 2147483647))
     rows = per_part(rows, "frames", lambda i: F.transform(
         f"_lines{i}", lambda line: F.get(F.split(line, ","), F.get(F.col(f"_at{i}"), F.lit(0))).try_cast("int")))
