@@ -25,9 +25,9 @@ INTEGER_FIELDS = {"serial", "number"}
 def _fields(line: Column, layout: dict[str, tuple[int, int]]) -> list[Column]:
     out = []
     for name, (start, width) in layout.items():
-        cell = F.trim(F.substring(line, start, width))
-        if name not in TEXT_FIELDS:
-            cell = cell.try_cast("int" if name in INTEGER_FIELDS else "double")
+        cell = F.substring(line, start, width)
+        # a cast trims by itself
+        cell = F.trim(cell) if name in TEXT_FIELDS else cell.try_cast("int" if name in INTEGER_FIELDS else "double")
         out.append(cell.alias(name))
     return out
 
