@@ -59,8 +59,11 @@ def file_table(raw: DataFrame) -> DataFrame:
     The paths come from the file index of the scan, so no file is opened and every name is parsed once.
     """
     paths = [re.sub(r"^(\w+):/+(?=/)", r"\1:", p) if p.startswith("file:") else p for p in raw.inputFiles()]  # rows say file:/ for file:///
-    files = raw.sparkSession.createDataFrame([(p,) for p in paths], "_path string").withColumns({
+    spark = raw.sparkSession
+    parsed = spark.createDataFrame([(p,) for p in paths], "_path string").withColumns({
         "_known": F.regexp_like("_path", F.lit(NAME)), "_kind": F.regexp_extract("_path", NAME, 5)}).withColumns(name_columns(F.col("_path")))
+    # as plain values: a condition on an expression of the path would be inferred for the path of every row that is joined
+    files = spark.createDataFrame(parsed.collect(), parsed.schema)
     return F.broadcast(files) if len(paths) <= BROADCAST_FILES else files
 
 
