@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from framecv.llm.common import ship_package
+from framecv.llm.common import bound_batches, ship_package
 from framecv.llm.exact_dedup import drop_copies
 from framecv.llm.language import keep_known_languages
 from framecv.llm.mixing import mix_all
@@ -19,28 +19,34 @@ from framecv.llm.queries import vocabulary
 from framecv.session import scratch_path
 
 
+def prepare(spark: SparkSession) -> None:
+    """What a stage needs of its session: the package on the executors, and whole texts in small batches."""
+    ship_package(spark)
+    bound_batches(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the filters know; texts without letters or known n-grams go."""
-    ship_package(spark)
+    prepare(spark)
     return keep_known_languages(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space."""
-    ship_package(spark)
+    prepare(spark)
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on shingles of five words."""
-    ship_package(spark)
+    prepare(spark)
     return drop_near_copies(docs, words=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the schedule, with target weights of the source sizes to the power 0.7; the slots of sources that
     have run out go to the others."""
-    ship_package(spark)
+    prepare(spark)
     return mix_all(docs)
 
 
@@ -63,7 +69,7 @@ def mix_runs(docs: DataFrame) -> Column | None:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences. Sequence ids follow the mix: every run of it is packed by itself."""
-    ship_package(spark)
+    prepare(spark)
     return pack_documents(docs, vocabulary(), added=True, group=mix_runs(docs))
 
 

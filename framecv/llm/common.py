@@ -36,6 +36,15 @@ def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     return thin.orderBy(key, quoted(id_col)).limit(most)
 
 
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let Python tasks of this session get batches of `most` bytes, or of one longer row. A batch of 10,000 whole texts, as Spark
+    makes them by default, takes tens of MB, and each task holds it several times: in the JVM's vectors, in the buffer to the
+    worker and in the worker. A limit that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, most)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once a session: the functions that run there import it. Spark distributes the file."""
     context = spark.sparkContext

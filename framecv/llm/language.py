@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from framecv.llm.common import quoted, without
-from framecv.llm.shingles import chunks, mix, text_bytes
+from framecv.llm.shingles import CHUNK, chunks, mix, text_bytes, text_parts
 
 SIZES = (3, 4)
 SLOTS = 1 << 21
@@ -81,12 +81,12 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             return keys[heads], np.add.reduceat(np.concatenate([c for _, c in parts])[order], heads)
 
-        for batch in batches:
-            langs = batch.column(0).dictionary_encode()
+        for part in (x for batch in batches for x in text_parts(batch, 1, 4 * CHUNK)):
+            langs = part.column(0).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
-                texts = _lower(batch.column(1).filter(pc.equal(langs.indices, k)))
+                texts = _lower(part.column(1).filter(pc.equal(langs.indices, k)))
                 data, offsets = text_bytes(texts)
-                for at, to in chunks(offsets, 1 << 22):
+                for at, to in chunks(offsets):
                     own = offsets[at:to + 1]
                     for codes, _ in _grams(data[own[0]:own[-1]], own - own[0]):
                         if len(codes):
@@ -149,7 +149,7 @@ def _scores(column: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndar
     data, offsets = text_bytes(_lower(column))
     found = np.zeros((len(column), len(model.languages)))
     total = np.zeros(len(column))
-    for at, to in chunks(offsets):
+    for at, to in chunks(offsets, CHUNK // 4):
         own = offsets[at:to + 1]
         for codes, sizes in _grams(data[own[0]:own[-1]], own - own[0]):
             if not len(codes):
@@ -172,7 +172,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
     Null texts and texts without a letter get `und` and 0, as does every text if no language was learned. Equal
     counts go to the first language by name; a text with letters but without any known n-gram gets the language with
-    the most training rows and 0. Columns of df with a result's name are left out.
+    the most training rows and 0. Columns of df with a result's name are left out. A batch is scored and returned in
+    slices of about CHUNK bytes of text, so a task needs little beyond the batch it is given.
     """
     base = without(df, RESULT)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -181,8 +182,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
     def run(batches):
         known = shared.value
-        for batch in batches:
-            column = batch.column(at)
+        for part in (x for batch in batches for x in text_parts(batch, at)):
+            column = part.column(at)
             letters = pc.fill_null(pc.match_substring_regex(column.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             if known.languages:
                 found, total = _scores(column, known)
@@ -192,8 +193,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
                 score = np.where(letters & (total > 0), np.clip(high / np.maximum(total, 1), 0.0, 1.0), 0.0)
                 pred = [known.languages[b] if ok else NONE for b, ok in zip(best.tolist(), letters.tolist())]
             else:
-                pred, score = [NONE] * batch.num_rows, np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*names, *RESULT])
+                pred, score = [NONE] * part.num_rows, np.zeros(part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], [*names, *RESULT])
 
     schema = T.StructType(base.schema.fields + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return base.mapInArrow(run, schema)
@@ -205,8 +206,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def keep_known_languages(docs: DataFrame, least: float = 0.2, id_col: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """The rows in a language that the filters know: not `und`, and at least the share `least` of the n-grams known."""
+    """The rows in a language that the filters know: not `und`, and at least the share `least` of the n-grams known.
+
+    Every column goes through the filters once, under a name that no result has, and gets its own name back."""
     train = docs.where(F.coalesce(~held_out(quoted(id_col)), F.lit(False)))
     model = train_languages(train, lang, text)
-    marked = identify(docs.select(*[quoted(c) for c in docs.columns], quoted(text).alias("_text")), model, "_text")
-    return marked.where((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(*[quoted(c) for c in docs.columns])
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    marked = identify(docs.select(*[quoted(c).alias(n) for c, n in names.items()]), model, next(n for c, n in names.items() if c.lower() == text.lower()))
+    return marked.where((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(*[quoted(n).alias(c) for c, n in names.items()])

@@ -64,6 +64,13 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def text_parts(batch: pa.RecordBatch, at: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about size bytes in its text column `at`; a longer text is in a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(at).cast(pa.large_string())), 0).to_numpy()
+    for first, end in chunks(np.append(0, np.cumsum(lengths, dtype=np.int64)), size):
+        yield batch.slice(first, end - first)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, and the number of words of each text."""
     n = len(offsets) - 1
@@ -91,7 +98,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     without words gives none."""
     data, offsets = text_bytes(column)
     factors = numbers(2, words) | np.uint64(1)
-    for at, to in chunks(offsets):
+    for at, to in chunks(offsets, CHUNK // 4):
         own = offsets[at:to + 1]
         hashes, counts = word_hashes(data[own[0]:own[-1]], own - own[0])
         with np.errstate(over="ignore"):

@@ -36,7 +36,15 @@ def load(path: str) -> tiktoken.Encoding:
 LONG_RUN = 100_000
 # The white space of the pattern.
 _WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_loaded: dict[str, tuple[tiktoken.Encoding, tiktoken.Encoding]] = {}
+_loaded: dict[str, tiktoken.Encoding] = {}
+_pieces: dict[str, tiktoken.Encoding] = {}
+
+
+def _one_piece(path: str) -> tiktoken.Encoding:
+    """The vocabulary with a pattern that cuts nothing. It takes as much memory as the vocabulary, so it is made when a text needs it."""
+    if path not in _pieces:
+        _pieces[path] = tiktoken.Encoding(path + " whole", pat_str="(?s).+", mergeable_ranks=_loaded[path]._mergeable_ranks, special_tokens={})
+    return _pieces[path]
 
 
 def _cut_runs(text: str, added: Iterable[str]) -> Iterator[tuple[str, bool]]:
@@ -61,13 +69,12 @@ def encoded(texts: Iterable[str | None], path: str, added: bool = False) -> Iter
     without, they are ordinary text, as in the library with encode_special_tokens.
     """
     if path not in _loaded:
-        main = load(path)
-        _loaded[path] = main, tiktoken.Encoding(path + " whole", pat_str="(?s).+", mergeable_ranks=main._mergeable_ranks, special_tokens={})
-    encoding, one_piece = _loaded[path]
+        _loaded[path] = load(path)
+    encoding = _loaded[path]
     special = encoding.special_tokens_set if added else ()
     for text in texts:
         ids = array("I")
         for part, whole in _cut_runs(text or "", special):
-            ids.extend(one_piece.encode_ordinary(part) if whole else encoding.encode(part, allowed_special="all") if added else
+            ids.extend(_one_piece(path).encode_ordinary(part) if whole else encoding.encode(part, allowed_special="all") if added else
                        encoding.encode_ordinary(part))
         yield ids.tobytes()
